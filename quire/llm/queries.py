@@ -99,4 +99,12 @@ def p9_profile(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p5_found, p5_clean, p6_found, p6_groups, p7_found, p7_containers, p7_fill, p8_found, p8_drawn, p8_shares, p9_found, p9_levels, p9_profile)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p6_found": r"""
+WITH words AS (SELECT entry_id, regexp_extract_all(lower(document), '[\p{L}\p{N}]+') AS w FROM entries),
+shingles AS (SELECT DISTINCT entry_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM words WHERE len(w) >= 20),
+sizes AS (SELECT entry_id, count(*) AS n FROM shingles GROUP BY 1),
+shared AS (SELECT a.entry_id AS x, b.entry_id AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.entry_id < b.entry_id GROUP BY ALL)
+SELECT x AS entry_id_1, y AS entry_id_2 FROM shared JOIN sizes p ON p.entry_id = x JOIN sizes q ON q.entry_id = y
+WHERE shared.n >= 0.6 * (p.n + q.n - shared.n)""",
+}
