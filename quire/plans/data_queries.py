@@ -101,3 +101,52 @@ ORACLE = {
   json_extract_string(o.value, '$.date') AS "date", json_extract_string(o.value, '$.note') AS note, json_extract_string(o.value, '$.version') AS version
   FROM nodes o WHERE o.kind = 'OBJECT' AND o.entity = '$.extra.revisions[]'""",
 }
+
+_FIELDS = r"""
+WITH RECURSIVE readable AS (
+  SELECT * FROM (
+    SELECT fm_id, library_id, export_no, exported_at, path AS file,
+           CASE WHEN json_valid(root) AND json_type(root) = 'VARCHAR' THEN json_extract_string(root, '$') ELSE root END AS root FROM frontmatters)
+  WHERE json_valid(root) AND json_type(root) = 'OBJECT'),
+nodes AS (
+  SELECT fm_id, root::JSON AS value, 'OBJECT' AS kind, '' AS field, '' AS place, true AS named FROM readable
+  UNION ALL
+  SELECT n.fm_id, c.value, c.type, CASE WHEN n.kind = 'ARRAY' THEN n.field || '[]' WHEN n.field = '' THEN c.key ELSE n.field || '.' || c.key END,
+         n.place || CASE WHEN n.kind = 'ARRAY' THEN printf('/%09d', c.key::INT) ELSE '' END, n.kind = 'OBJECT'
+  FROM nodes n, json_each(n.value) c WHERE n.kind IN ('OBJECT', 'ARRAY')),
+held AS (
+  SELECT r.library_id, r.export_no, r.exported_at, r.fm_id, r.file, n.field,
+         list(DISTINCT CASE n.kind WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'float' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'list' ELSE 'integer' END) AS types,
+         list(CASE WHEN n.kind = 'VARCHAR' THEN json_extract_string(n.value, '$') ELSE n.value::VARCHAR END ORDER BY n.place) AS vals
+  FROM nodes n JOIN readable r USING (fm_id) WHERE n.named AND n.kind NOT IN ('OBJECT', 'NULL') GROUP BY ALL)
+"""
+
+ORACLE["p3_schema"] = (
+    _FIELDS
+    + """SELECT field, CASE t WHEN ['integer'] THEN 'bigint' WHEN ['float'] THEN 'double' WHEN ['float', 'integer'] THEN 'double' WHEN ['boolean'] THEN 'boolean' ELSE 'string' END AS spark_type, records
+  FROM (SELECT field, list_sort(list_distinct(flatten(list(types)))) AS t, count(DISTINCT fm_id) AS records FROM held GROUP BY field)"""
+)
+ORACLE["p3_found"] = (
+    _FIELDS
+    + """,
+exports AS (SELECT DISTINCT library_id, export_no FROM readable),
+pairs AS (SELECT * FROM exports e WHERE EXISTS (SELECT 1 FROM exports b WHERE b.library_id = e.library_id AND b.export_no = e.export_no - 1)),
+seen AS (SELECT library_id, export_no, field, list_sort(list_distinct(flatten(list(types)))) AS types FROM held GROUP BY ALL),
+diff AS (
+  SELECT p.library_id, p.export_no, coalesce(a.field, b.field) AS field, a.types AS types_now, b.types AS types_before
+  FROM pairs p, LATERAL (SELECT DISTINCT field AS f FROM seen s WHERE s.library_id = p.library_id AND s.export_no IN (p.export_no, p.export_no - 1)) x
+  LEFT JOIN seen a ON a.library_id = p.library_id AND a.export_no = p.export_no AND a.field = x.f
+  LEFT JOIN seen b ON b.library_id = p.library_id AND b.export_no = p.export_no - 1 AND b.field = x.f
+  WHERE a.types IS DISTINCT FROM b.types),
+latest AS (SELECT library_id, export_no, file, field, arg_max(vals, (exported_at, fm_id)) AS vals FROM held WHERE file IS NOT NULL GROUP BY ALL),
+renamed AS (
+  SELECT g.library_id, g.export_no, g.field AS old_field, n.field AS new_field
+  FROM diff g JOIN diff n ON n.library_id = g.library_id AND n.export_no = g.export_no AND g.types_now IS NULL AND n.types_before IS NULL
+  JOIN latest o ON o.library_id = g.library_id AND o.export_no = g.export_no - 1 AND o.field = g.field
+  JOIN latest c ON c.library_id = g.library_id AND c.export_no = g.export_no AND c.field = n.field AND c.file = o.file
+  GROUP BY ALL HAVING count(*) >= 3 AND count(*) FILTER (WHERE o.vals = c.vals) >= 0.8 * count(*))
+SELECT library_id, export_no, 'renamed' AS change, old_field, new_field FROM renamed
+UNION ALL SELECT library_id, export_no, 'removed', field, '' FROM diff d WHERE types_now IS NULL AND NOT EXISTS (SELECT 1 FROM renamed r WHERE r.library_id = d.library_id AND r.export_no = d.export_no AND r.old_field = d.field)
+UNION ALL SELECT library_id, export_no, 'added', '', field FROM diff d WHERE types_before IS NULL AND NOT EXISTS (SELECT 1 FROM renamed r WHERE r.library_id = d.library_id AND r.export_no = d.export_no AND r.new_field = d.field)
+UNION ALL SELECT library_id, export_no, 'retyped', field, field FROM diff WHERE types_now IS NOT NULL AND types_before IS NOT NULL"""
+)
