@@ -10,6 +10,7 @@ from quire.core.nodes import Block, Document
 MAX_DEPTH = 100
 MAX_COLUMNS = 64
 
+_STARTERS = frozenset("#`~><=-|:*_[+0123456789")  # what a block other than a paragraph can begin with
 _ATX = re.compile(r"(#{1,6})(?:[ \t]+|$)")
 _ATX_END = re.compile(r"(?:^|[ \t]+)#+[ \t]*$")
 _BREAK = re.compile(r"(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
@@ -334,6 +335,8 @@ class BlockParser:
             b = self._add("code_block")
             self._text(b)
             return "leaf"
+        if c not in _STARTERS:
+            return None
         rest = line[at:]
         if c == "#":
             m = _ATX.match(rest)

@@ -11,6 +11,7 @@ from quire.core.nodes import Inline, flatten
 ESCAPABLE = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 _SPECIAL = "\\\n`*_~[]!<"
 _RUN = re.compile(r"[^" + re.escape(_SPECIAL) + r"]+")
+_ACTIVE = re.compile(r"[\\\n`*_~\[\]!<@]|www\.|://", re.I)  # without any of these a text is one node
 _AUTO = re.compile(r"(?<![^\s*_~(])(?:www\.|https?://|ftp://)", re.I)
 _URI = re.compile(r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\x00-\x20<>]*)>")
 _MAIL = re.compile(r"<([A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?)*)>")
@@ -124,6 +125,8 @@ class InlineParser:
     def parse(self, s: str) -> list[Inline]:
         if not s:
             return []
+        if not _ACTIVE.search(s):
+            return [Inline("text", s.rstrip(" ") if s[-1] == " " else s)]
         self.s, self.out, self.last = s, [], None
         self.brackets: list[_Bracket] = []
         self.no_ticks: dict[int, int] = {}

@@ -33,7 +33,9 @@ def read(text: Column, sniff: str = "strict") -> Column:
                 out.append((found[0], None, str(e), found[2]))
         return pd.DataFrame(out, columns=["format", "json", "error", "body_start"]).astype({"body_start": "Int32"})
 
-    return reading(text)
+    # Marked so that Catalyst does not copy it into every expression over its fields: one reading a
+    # document. Filters on other columns belong before it.
+    return reading.asNondeterministic()(text)
 
 
 def to_json(source: Column, kind: Column) -> Column:
@@ -168,8 +170,8 @@ def equals(fm: Column, path: str, expected: str) -> Column:
             hit = hit | F.coalesce(F.exists(items, lambda x: match(x, depth - 1)), F.lit(False))
         return hit
 
-    v = field(fm, path)
-    return F.coalesce(v.isNotNull() & match(v, NESTED_LISTS), F.lit(False))
+    # Bound by a lambda, so that the tree is parsed once and not in each place that looks at it.
+    return F.exists(F.array(field(fm, path)), lambda v: F.coalesce(v.isNotNull() & match(v, NESTED_LISTS), F.lit(False)))
 
 
 def sort_keys(fm: Column, path: str) -> list[Column]:

@@ -11,7 +11,7 @@ from quire.functions import parsing, rendering, text
 from quire.operators import edit
 from quire.operators.library import Library
 from quire.plans import fixtures as fx
-from quire.runtime import table
+from quire.runtime import spread, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -37,7 +37,7 @@ def _bare(df) -> Library:
 
 
 def _entries(spark, sf_dir) -> Library:
-    return Library.from_parts(table(spark, sf_dir, "entries"), "entry_id", "document", "frontmatter", "fm_format", path_col="path")
+    return Library.from_parts(spread(table(spark, sf_dir, "entries")), "entry_id", "document", "frontmatter", "fm_format", path_col="path")
 
 
 # -- collection queries ------------------------------------------------------------------------------
@@ -180,7 +180,7 @@ def parse_p2_lines(spark, sf_dir):
 @_query("""SELECT entry_id, language, replace(content, chr(13) || chr(10), chr(10)) AS content, fence_char, fence_length FROM code_blocks""")
 def parse_p9_fences(spark, sf_dir):
     """The fenced code of every entry, at the top level and in order."""
-    blocks = parsing.nodes(table(spark, sf_dir, "entries"), "entry_id", "document", "blocks", skip_frontmatter=False, kinds=["fenced_code_block"])
+    blocks = parsing.nodes(spread(table(spark, sf_dir, "entries")), "entry_id", "document", "blocks", skip_frontmatter=False, kinds=["fenced_code_block"])
     return blocks.select("entry_id", "language", F.concat("content", F.lit("\n")).alias("content"), "fence_char", "fence_length")
 
 
@@ -248,14 +248,14 @@ def parse_p27_breaks(spark, sf_dir):
 @_query()
 def parse_entries_profile(spark, sf_dir):
     """Blocks of the stored entries by kind, depth and level."""
-    blocks = parsing.nodes(table(spark, sf_dir, "entries"), "entry_id", "document", "blocks", skip_frontmatter=False)
+    blocks = parsing.nodes(spread(table(spark, sf_dir, "entries")), "entry_id", "document", "blocks", skip_frontmatter=False)
     return blocks.groupBy("kind", "depth", "level").agg(F.count("*").alias("n"), F.countDistinct("entry_id").alias("n_entries"))
 
 
 @_query()
 def agg_levels(spark, sf_dir):
     """Headings per level and in all: sums per section with a separate total."""
-    rows = parsing.nodes(table(spark, sf_dir, "entries"), "entry_id", "document", "blocks", skip_frontmatter=False, kinds=["heading"])
+    rows = parsing.nodes(spread(table(spark, sf_dir, "entries")), "entry_id", "document", "blocks", skip_frontmatter=False, kinds=["heading"])
     return rows.rollup("level").agg(F.count("*").alias("n"))
 
 
@@ -281,7 +281,7 @@ def f2_json(spark, sf_dir):
  FROM frontmatters WHERE json_valid(root) AND json_type(root) = 'OBJECT' AND frontmatter IS NOT NULL""")
 def f2_formats(spark, sf_dir):
     """The four source formats read into one tree, for the files whose exported root is whole."""
-    rows = table(spark, sf_dir, "frontmatters").where(F.schema_of_variant(F.try_parse_json("root")).startswith("OBJECT") & F.col("frontmatter").isNotNull())
+    rows = spread(table(spark, sf_dir, "frontmatters")).where(F.schema_of_variant(F.try_parse_json("root")).startswith("OBJECT") & F.col("frontmatter").isNotNull())
     v = F.try_parse_json(fmf.to_json(F.col("frontmatter"), F.col("fm_format")))
     get = lambda p, t: F.try_variant_get(v, p, t)
     tags = get("$.tags", "array<variant>")
@@ -464,7 +464,7 @@ def r10_normalize(spark, sf_dir):
 @_query()
 def r1_entries(spark, sf_dir):
     """Every entry as HTML."""
-    return table(spark, sf_dir, "entries").select("entry_id", rendering.render(F.col("document"), "html").alias("html"))
+    return spread(table(spark, sf_dir, "entries")).select("entry_id", rendering.render(F.col("document"), "html").alias("html"))
 
 
 # -- string functions --------------------------------------------------------------------------------

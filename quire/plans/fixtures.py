@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.runtime import table
+from quire.runtime import spread, table
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,12 +17,12 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('---\ntitle: "doc '), F.col("doc_id").cast("string"), F.lit('"\nextra:\n  lang: '), lang, F.lit("\n  source: "), source, score,
         F.lit("\ntags:\n  - "), lang, F.lit("\n  - "), source, F.lit("\n---\n## Text\n\n"), F.coalesce("text", F.lit("")),
     )
-    return table(spark, sf_dir, "documents").select("doc_id", front.alias("source"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", front.alias("source"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events with their props as JSON frontmatter and a heading."""
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.concat("props", F.lit("\n# "), "event_type").alias("source"))
+    return spread(table(spark, sf_dir, "events")).select(F.col("event_id").alias("doc_id"), F.concat("props", F.lit("\n# "), "event_type").alias("source"))
 
 
 def journals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,14 +36,14 @@ def journals(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("event_type") == "signup", F.concat(F.lit("```txt\n"), F.col("event_id").cast("string"), F.lit("\n```")))
         .otherwise(F.concat(F.lit("error "), F.col("event_id").cast("string")))
     )
-    rows = e.select("user_id", F.struct("event_id", block.alias("b")).alias("r")).groupBy("user_id").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    rows = e.select("user_id", F.struct("event_id", block.alias("b")).alias("r")).repartition(2 * spark.sparkContext.defaultParallelism, "user_id").groupBy("user_id").agg(F.array_sort(F.collect_list("r")).alias("rs"))
     return rows.select(F.col("user_id").alias("doc_id"), F.array_join(F.transform("rs", lambda x: x["b"]), "\n\n").alias("source"))
 
 
 def order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document per order: a table of its lines, quantities aligned right."""
     line = F.concat(F.lit("| "), F.col("l_linenumber").cast("string"), F.lit(" | "), F.col("l_returnflag"), F.lit(" | "), F.col("l_quantity").cast("int").cast("string"), F.lit(" |"))
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", line.alias("r")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", line.alias("r")).repartition(2 * spark.sparkContext.defaultParallelism, "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("r")).alias("rs"))
     return rows.select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("| line | flag | qty |\n|---|:-:|--:|\n"), F.array_join("rs", "\n")).alias("source"))
 
 
@@ -57,14 +57,14 @@ def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customers as a reference link whose definition stands at the end."""
     key = F.col("c_custkey").cast("string")
-    return table(spark, sf_dir, "customer").select(
+    return spread(table(spark, sf_dir, "customer")).select(
         F.col("c_custkey").alias("doc_id"), F.concat(F.lit("See ["), "c_name", F.lit("][K"), key, F.lit("] now.\n\n[k"), key, F.lit("]: /c/"), key, F.lit(' "'), "c_mktsegment", F.lit('"')).alias("source")
     )
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """parts: a styled sentence, then fenced code with the brand as its language."""
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part")).select(
         F.col("p_partkey").alias("doc_id"),
         F.concat(F.lit("*"), "p_name", F.lit("* is **"), "p_type", F.lit("** in `"), F.col("p_size").cast("string"), F.lit("`\n\n~~~~"), "p_brand", F.lit(" x\n"), "p_name", F.lit("\n~~~~")).alias("source"),
     )
@@ -73,7 +73,7 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders: a footnote reference and its definition."""
     key = F.col("o_orderkey").cast("string")
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("Order[^"), key, F.lit("] stands.\n\n[^"), key, F.lit("]: "), "o_orderpriority").alias("source"))
+    return spread(table(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("Order[^"), key, F.lit("] stands.\n\n[^"), key, F.lit("]: "), "o_orderpriority").alias("source"))
 
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan over all cores, for CPU-heavy Python steps.
+
+    Only an input of fewer files than cores is dealt out anew: a small Parquet file is one row group,
+    so one task would do all the work. Larger inputs stay as they are, without a shuffle. ``df`` must
+    be a plain scan; anything else would be planned here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 4 * cores or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(2 * cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it in spark.checkpoint.dir.
 
