@@ -8,6 +8,7 @@ from functools import lru_cache
 
 from quire.core.nodes import Inline, flatten
 
+MAX_DEPTH = 100  # deeper emphasis stays text
 ESCAPABLE = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 _SPECIAL = "\\\n`*_~[]!<"
 _RUN = re.compile(r"[^" + re.escape(_SPECIAL) + r"]+")
@@ -372,6 +373,11 @@ class InlineParser:
                 continue
             use = closer.count if closer.char == "~" else 2 if closer.count >= 2 and opener.count >= 2 else 1
             inner = self._merge([x for x in out[opener.at + 1 : closer.at] if x is not None])
+            if any(x.height >= MAX_DEPTH for x in inner):
+                following = closer.next
+                self._drop(closer)
+                closer = following
+                continue
             kind = "strikethrough" if closer.char == "~" else "strong" if use == 2 else "emphasis"
             node = Inline(kind, children=inner, marker=None if closer.char == "~" else closer.char)
             for k in range(opener.at + 1, closer.at):

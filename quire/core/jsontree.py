@@ -80,10 +80,40 @@ def read_root(text: str | None) -> dict | None:
     try:
         value = parse(text)
         if isinstance(value, str) and not isinstance(value, Number):
+            text = value
             value = parse(value)
     except ValueError:
         return None
-    return value if isinstance(value, dict) else None
+    if not isinstance(value, dict):
+        return None
+    return _whole(value) if _SURROGATE.search(text) else value
+
+
+_SURROGATE = re.compile(r"\\u[dD][89a-fA-F]|[\ud800-\udfff]")
+
+
+def _text(s: str) -> str:
+    return s.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def _whole(root):
+    """The tree with halves of surrogate pairs, which no text can hold, replaced by U+FFFD."""
+    out: dict = {}
+    stack = [(root, out)]
+    while stack:
+        source, target = stack.pop()
+        for k, v in source.items() if isinstance(source, dict) else enumerate(source):
+            if isinstance(v, (dict, list)):
+                child = {} if isinstance(v, dict) else []
+                stack.append((v, child))
+                v = child
+            elif isinstance(v, str) and not isinstance(v, Number):
+                v = _text(v)
+            if isinstance(target, dict):
+                target[_text(k)] = v
+            else:
+                target.append(v)
+    return out
 
 
 def scalar_text(value) -> str | None:

@@ -32,12 +32,13 @@ class Block:
 
 
 class Inline:
-    __slots__ = ("kind", "children", "content", "marker", "url", "title", "link_type", "alt", "is_email", "is_www", "label")
+    __slots__ = ("kind", "children", "content", "marker", "url", "title", "link_type", "alt", "is_email", "is_www", "label", "height")
 
     def __init__(self, kind: str, content=None, children=None, marker=None, url=None, title=None, link_type=None, alt=None, is_email=False, is_www=False, label=None):
         self.kind, self.content, self.children, self.marker = kind, content, children if children is not None else [], marker
         self.url, self.title, self.link_type, self.alt = url, title, link_type, alt
         self.is_email, self.is_www, self.label = is_email, is_www, label
+        self.height = 1 + max((c.height for c in self.children), default=0) if self.children else 0
 
     def __repr__(self):
         return f"Inline({self.kind}, {self.content or self.children!r})"

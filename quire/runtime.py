@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -45,6 +47,17 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what ``materialize`` has written so far; results that still read it must be done."""
+    jvm = spark.sparkContext._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives executor loss.
 
@@ -52,5 +65,6 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     where = f"{shared_dir(spark)}/quire-{tag}-{uuid.uuid4().hex}"
+    _written.append(where)
     df.write.option("compression", "zstd").parquet(where)
     return spark.read.schema(df.schema).parquet(where)
