@@ -62,7 +62,7 @@ def draw(docs: DataFrame, planned: DataFrame, id_col: str = "doc_id", seed: int
     keyed = keyed.join(before, ["source_key", "_bucket"])
     inside = Window.partitionBy("source_key", "_bucket").orderBy("_key", id_col, "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     partial = (F.col("_before") < F.col("rest")) & (F.col("_before") + F.col("_in") > F.col("rest"))
-    fixed = keyed.where(~partial).withColumn("_extra", (F.col("_before") + F.col("_in") <= F.col("rest")).cast("int"))
+    fixed = keyed.where(~partial).withColumn("_extra", ((F.col("rest") > 0) & (F.col("_before") + F.col("_in") <= F.col("rest"))).cast("int"))
     summed = keyed.where(partial).withColumn("_extra", (F.col("_before") + F.sum("n").over(inside) <= F.col("rest")).cast("int"))
     drawn = fixed.unionByName(summed).withColumn("repeats", F.col("epochs") + F.coalesce("_extra", F.lit(0)))
     return drawn.where("repeats > 0").select(id_col, "source", "n", "repeats")

@@ -233,7 +233,7 @@ def candidates(reps: DataFrame, similarity: float) -> DataFrame:
 
     grouped = more.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     many = grouped.mapInArrow(pairs, f"a {kind}, b {kind}")
-    return two.unionByName(many).distinct()
+    return two.unionByName(many.where("a < b")).distinct()
 
 
 def shingle_sets(df: DataFrame, id_col: str, text_col: str, words: int, min_words: int) -> DataFrame:
@@ -260,13 +260,16 @@ def links(df: DataFrame, id_col: str, text_col: str, words: int = 5, similarity:
     between class representatives.
 
     A class holds the documents with the same shingle set, its representative is the least id; links
-    join different classes whose Jaccard similarity reaches the threshold. Identifiers must be
-    unique. Null texts, and texts under ``min_words`` or ``words`` words, are in no class. An empty
-    table gives two empty ones.
+    join different classes whose Jaccard similarity reaches the threshold. Null texts, and texts under
+    ``min_words`` or ``words`` words, are in no class; rows without an identifier are left out. A row
+    that occurs twice counts once; one identifier with several texts is linked by any of them. An
+    empty table gives two empty ones.
     """
+    df = df.where(F.col(id_col).isNotNull())
     found = materialize(features(df, id_col, text_col, words, similarity, min_words), "neardup")
     class_of = found.groupBy("digest").agg(F.min("id").alias("class_id"))
-    members = materialize(found.select("id", "digest").join(class_of, "digest").select("id", "class_id"), "neardup-members")
+    members = found.select("id", "digest").join(class_of, "digest").groupBy("id").agg(F.min("class_id").alias("class_id"))
+    members = materialize(members, "neardup-members")
     reps = found.join(members.where("id = class_id").select("id"), "id", "left_semi")
     near = materialize(candidates(reps, similarity), "neardup-candidates")
     wanted = near.select(F.col("a").alias("_w")).union(near.select("b")).distinct()
@@ -276,7 +279,7 @@ def links(df: DataFrame, id_col: str, text_col: str, words: int = 5, similarity:
     shared = F.size(F.array_intersect("_a", "_b"))
     union = F.size("_a") + F.size("_b") - F.col("_s")
     verified = both.withColumn("_s", shared).select("a", "b", (F.col("_s") / union).alias("similarity")).where(F.col("similarity") >= similarity)
-    return members, verified
+    return members, verified.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def pairs(members: DataFrame, verified: DataFrame) -> DataFrame:
