@@ -262,12 +262,12 @@ def agg_levels(spark, sf_dir):
 # -- frontmatter -------------------------------------------------------------------------------------
 
 
-@_query("SELECT 'json' AS format, count(*)::BIGINT AS n, max(strlen(props) + 1)::BIGINT AS furthest FROM events UNION ALL SELECT 'yaml', count(*), NULL FROM documents")
+@_query("SELECT 'json' AS format, count(*)::BIGINT AS n, max(strlen(props) + 1)::BIGINT AS furthest FROM events UNION ALL SELECT 'yaml', count(*), 0 FROM documents")
 def f1_sniff(spark, sf_dir):
     """Formats found at the start of documents, and where bodies begin."""
     j = fx.events(spark, sf_dir).select(fmf.read(F.col("source")).alias("f")).groupBy(F.col("f.format").alias("format")).agg(F.count("*").alias("n"), F.max("f.body_start").cast("bigint").alias("furthest"))
     y = fx.pages(spark, sf_dir).select(fmf.read(F.col("source")).alias("f")).groupBy(F.col("f.format").alias("format")).agg(F.count("*").alias("n"))
-    return j.unionByName(y, allowMissingColumns=True)
+    return j.unionByName(y.withColumn("furthest", F.lit(0).cast("bigint")))
 
 
 @_query("SELECT json_extract(props, '$.k')::BIGINT AS k, count(*)::BIGINT AS n FROM events GROUP BY 1")

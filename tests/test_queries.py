@@ -1,8 +1,8 @@
 """Every query with SQL against DuckDB on the smallest data, and the driver's contract."""
 
-import math
 import os
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -12,7 +12,7 @@ CORE = [k for k in entry.queries() if not entry.queries()[k].__module__.startswi
 
 def rows(frame):
     def plain(v):
-        return None if v is None or (isinstance(v, float) and math.isnan(v)) else f"{float(v):.9g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+        return None if v is None or v is pd.NaT or v is pd.NA or v != v else f"{float(v):.9g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
     frame = frame[sorted(frame.columns)]
     return list(frame.columns), sorted((tuple(map(plain, r)) for r in frame.itertuples(index=False)), key=str)
