@@ -45,18 +45,20 @@ def quality_of(score: Column) -> Column:
     return F.greatest(F.lit(0.01), F.least(F.lit(1.0), F.coalesce(F.nanvl(unit, F.lit(0.5)), F.lit(0.5))))
 
 
-def draw(docs: DataFrame, planned: DataFrame, id_col: str = "doc_id", seed: int = 42, buckets: int = 1024) -> DataFrame:
+def draw(docs: DataFrame, planned: DataFrame, id_col: str = "doc_id", seed: int = 42, per_octave: int = 64) -> DataFrame:
     """(id, source, n, repeats) of every drawn document; repeats never exceeds max_repeats.
 
     ``docs``: id, source_key, n, quality. Keys are hashes, so a run repeats exactly. The prefix sums
-    of a source run over ``buckets`` ranges of the key and then within the one range where the budget
-    ends, never over a whole source in one task: a source may hold a third of all rows.
+    of a source run over ranges of the key and then within the one range where the budget ends, never
+    over a whole source in one task: a source may hold a third of all rows. Ranges are logarithmic,
+    ``per_octave`` to each doubling of the key: of exponential keys, whatever their weights, none then
+    holds more than ln(2) / (e * per_octave) of a source, 0.4 % here.
     """
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     keyed = docs.join(planned.select("source_key", "source", "epochs", "rest"), "source_key")
     keyed = keyed.withColumn("_key", -F.log(u) / F.col("quality"))
-    keyed = keyed.withColumn("_bucket", F.least(F.lit(buckets - 1), F.floor(F.lit(buckets) * (1 - F.exp(-F.col("_key")))).cast("int")))
-    whole = keyed.groupBy("source_key", "_bucket").agg(F.sum("n").alias("_in"))  # sources x buckets rows
+    keyed = keyed.withColumn("_bucket", F.floor(F.log2(F.col("_key")) * per_octave).cast("int"))
+    whole = keyed.groupBy("source_key", "_bucket").agg(F.sum("n").alias("_in"))  # a few thousand ranges a source
     upto = Window.partitionBy("source_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = whole.select("source_key", "_bucket", F.coalesce(F.sum("_in").over(upto), F.lit(0)).alias("_before"), "_in")
     keyed = keyed.join(before, ["source_key", "_bucket"])

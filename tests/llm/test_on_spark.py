@@ -146,12 +146,12 @@ def test_mixing(spark):
     big = sum(n for _, s, n, _ in docs if s and s.strip().lower() == "big")
     assert by["big"]["size"] == big and by["big"]["total"] == big + 500 and by["Small"]["size"] == 500 and not by["big"]["short"]
     assert by["Small"]["short"] == (500 * 4 < 0.05 * (big + 500)) and by["none"]["short"] and not by["zero"]["short"] and by["null"]["short"] is None
-    drawn = mixing.draw(rows, planned, buckets=16).collect()
+    drawn = mixing.draw(rows, planned, per_octave=4).collect()
     total = sum(r["n"] * r["repeats"] for r in drawn if r["source"] == "big")
     assert 0.5 * (big + 500) - 50 <= total <= 0.5 * (big + 500) and len({r["doc_id"] for r in drawn}) == len(drawn)
     assert all(r["repeats"] <= 4 for r in drawn) and {r["source"] for r in drawn} <= {"big", "Small"}
     # The same documents whatever the number of ranges: prefix sums in the order of the keys.
-    assert {(r["doc_id"], r["repeats"]) for r in mixing.draw(rows, planned, buckets=1).collect()} == {(r["doc_id"], r["repeats"]) for r in drawn}
+    assert {(r["doc_id"], r["repeats"]) for r in mixing.draw(rows, planned, per_octave=1).collect()} == {(r["doc_id"], r["repeats"]) for r in drawn}
     shares = {r["source"]: r for r in mixing.shares(planned, mixing.draw(rows, planned)).collect()}
     assert abs(shares["big"]["share_of_total"] - 0.5) < 0.01 and shares["none"]["drawn"] == 0
     assert mixing.plan(rows.where("false"), targets).where("short").count() == 0 and mixing.draw(rows, mixing.plan(rows, targets.where("false"))).count() == 0
