@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,3 +40,59 @@ def is_image(path: Column) -> Column:
 def line_count(s: Column) -> Column:
     """Lines as the parser splits them: a line feed ends one, a last empty one is none."""
     return F.when(s == "", 0).otherwise(F.size(F.split(s, "\n")) - F.when(s.endswith("\n"), 1).otherwise(0))
+
+
+def _each(f):
+    """A text function as a column function; null stays null."""
+
+    @F.pandas_udf("string")
+    def mapped(values: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else f(v) for v in values], dtype=object)
+
+    return mapped
+
+
+def decode_entities(s: Column) -> Column:
+    """Character references as their characters: the full HTML5 set of names, decimal, hexadecimal."""
+    from quire.render.html import decode_entities as decode
+
+    return _each(decode)(s)
+
+
+def link_url(s: Column) -> Column:
+    """A raw link destination as it is used: unescaped, decoded, percent-encoded."""
+    from quire.render.html import link_url as url
+
+    return _each(url)(s)
+
+
+def normalize_label(s: Column) -> Column:
+    """A link label as references compare it: white space collapsed, case folded."""
+    from quire.core.inlines import normalize_label as label
+
+    return _each(label)(s)
+
+
+def infer(s: Column) -> Column:
+    """The JSON text of a command-line value: true, false, null, a number or a string."""
+    import json
+
+    from quire.meta.values import infer as value
+
+    return _each(lambda v: json.dumps(value(v), ensure_ascii=False))(s)
+
+
+def yaml_needs_quote(s: Column) -> Column:
+    """Whether a text must be quoted to stay a string in YAML, as true or false text."""
+    from quire.meta.emit import yaml_needs_quote as needs
+
+    return _each(lambda v: "true" if needs(v) else "false")(s) == "true"
+
+
+def char_class(s: Column) -> Column:
+    """The class of the first character: whitespace, digit, letter, punctuation, other or empty."""
+    c = F.substring(s, 1, 1)
+    out = F.when(c == "", "empty")
+    for name, pattern in (("whitespace", r"^[ \t\n\r]$"), ("digit", "^[0-9]$"), ("letter", "^[A-Za-z]$"), ("punctuation", r"^[!-/:-@\[-`{-~]$")):
+        out = out.when(c.rlike(pattern), name)
+    return out.otherwise("other")
