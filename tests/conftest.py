@@ -15,7 +15,9 @@ def spark():
 
     session = (
         SparkSession.builder.master("local[4]").appName("tests")
-        .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
+        # Tiny inputs: few partitions, and no code generation, whose compiler would take most of the time.
+        .config("spark.sql.shuffle.partitions", "2").config("spark.default.parallelism", "4").config("spark.sql.codegen.wholeStage", "false").config("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+        .config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )

@@ -157,3 +157,14 @@ def test_stream(spark, tmp_path):
     stream().awaitTermination()
     stream().awaitTermination()
     assert sorted((r["id"], r["kind"]) for r in spark.read.parquet(target).collect()) == [(1, "heading"), (2, "paragraph"), (3, "heading"), (3, "paragraph")]
+
+
+def test_stream_windows(spark, tmp_path):
+    source = str(tmp_path / "in")
+    spark.sql("SELECT 1L AS id, '# a\n\nb' AS text, timestamp'2025-01-01 00:10:00' AS ts UNION ALL SELECT 2L, '# c', timestamp'2025-01-01 01:10:00'").write.parquet(source)
+    docs = spark.readStream.schema("id bigint, text string, ts timestamp").parquet(source)
+    counts = ingest.kinds_per_window(ingest.parse_stream(docs, "id", "text", keep=["ts"]), "ts")
+    query = counts.writeStream.outputMode("complete").format("memory").queryName("kinds").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = spark.sql("SELECT hour(window.start) AS h, kind, n FROM kinds").collect()
+    assert sorted(map(tuple, rows)) == [(0, "heading", 1), (0, "paragraph", 1), (1, "heading", 1)]
