@@ -71,11 +71,12 @@ class Library:
     @classmethod
     def from_files(cls, files: DataFrame, **options) -> Library:
         """From (path, content BINARY): bytes that are no UTF-8 become replacement characters.
-        Identifiers, and the order, are hashes of the path: the same in every run and no sort."""
+        Identifiers, and the order, are hashes of the path: the same in every run and no sort. The
+        order keeps 56 bits, which leaves room for the shifts of many unions."""
         from quire.sources.markdown_files import utf8
 
         key = F.xxhash64("path")
-        return cls.from_rows(files.select(key.alias("doc_id"), key.alias("doc_seq"), "path", utf8(F.col("content")).alias("source")), **options)
+        return cls.from_rows(files.select(key.alias("doc_id"), F.shiftrightunsigned(key, 8).alias("doc_seq"), "path", utf8(F.col("content")).alias("source")), **options)
 
     def add(self, source: str, path: str | None = None, **options) -> Library:
         """The collection with one more document at its end."""
@@ -104,9 +105,7 @@ class Library:
         first = other.docs.agg(F.coalesce(F.min("doc_seq"), F.lit(0)).alias("_f")).withColumn("_k", F.lit(1))
         shift = last.join(first, "_k")
         moved = other.docs.withColumn("_k", F.lit(1)).join(F.broadcast(shift), "_k")  # one row
-        # Hashed orders can span the whole range, so the shift saturates instead of overflowing.
-        shifted = F.col("doc_seq").cast("decimal(38,0)") - F.col("_f") + F.col("_s") + 1
-        moved = moved.withColumn("doc_seq", F.least(shifted, F.lit(2**63 - 1).cast("decimal(38,0)")).cast("bigint")).withColumn("doc_id", F.xxhash64("doc_id", "path", "_s"))
+        moved = moved.withColumn("doc_seq", F.col("doc_seq") - F.col("_f") + F.col("_s") + 1).withColumn("doc_id", F.xxhash64("doc_id", "path", "_s"))
         return Library(self.docs.unionByName(moved.drop("_k", "_s", "_f")), self.strip)
 
     # nodes ----------------------------------------------------------------------------------------
@@ -160,7 +159,7 @@ class Library:
                 source = docs.where(F.col(self.text_column()).rlike(needle)) if needle else docs
                 rows = self.nodes("blocks", source, keep=["doc_seq", "path", "fm_json"], kinds=[plan.kind])
             rows = rows.select(*head, "block_id", "kind", "level", F.coalesce("text", "content").alias("text"), "language")
-        return rows.withColumn("confidence", F.lit(1.0).cast("float")).select(*RESULT).orderBy(F.desc("confidence"), "doc_seq", "block_id")
+        return rows.withColumn("confidence", F.lit(1.0).cast("float")).select(*RESULT).orderBy(F.desc("confidence"), "doc_seq", "doc_id", "block_id")
 
     @staticmethod
     def sort_by(results: DataFrame, path: str, ascending: bool = True, nulls: str = "last") -> DataFrame:
@@ -177,7 +176,7 @@ class Library:
         else:
             lead = missing.asc() if nulls == "last" else missing.desc()
             keys = [lead, F.desc("_rank"), F.desc("_num"), F.desc("_text")]
-        return rows.orderBy(*keys, "doc_seq", "block_id").drop("_rank", "_num", "_text")
+        return rows.orderBy(*keys, "doc_seq", "doc_id", "block_id").drop("_rank", "_num", "_text")
 
     # in-document queries --------------------------------------------------------------------------
     def top(self, kind: str | None = None) -> DataFrame:
