@@ -266,7 +266,6 @@ def _from_markdown(text: str) -> str:
     text = re.sub(r"(?<![\w*])(\*{1,3})(?=[^\s*])([^*\n]*[^\s*])\1(?![\w*])", r"\2", text)
     text = re.sub(r"(?<![\w_])(_{1,3})(?=[^\s_])([^_\n]*[^\s_])\1(?![\w_])", r"\2", text)
     text = re.sub(r"~~(?=\S)([^~\n]+)~~", r"\1", text)
-    text = re.sub(r"\n(={2,}|-{2,})[ \t]*(?=\n|\Z)", "\n", text) if False else text
     return text
 
 
