@@ -16,11 +16,16 @@ DOCUMENTS = "doc_id bigint, doc_seq bigint, path string, source string"
 RESULT = ["doc_seq", "doc_id", "path", "fm_json", "block_id", "kind", "level", "text", "language", "confidence"]
 
 
+def _parse_error(name: str) -> Column:
+    """Why a document has no nodes: it is above the limit the parser takes."""
+    return F.when(F.octet_length(name) > parsing.MAX_BYTES, F.lit(f"larger than {parsing.MAX_BYTES} bytes")).alias("parse_error")
+
+
 class Library:
     """Documents with frontmatter, and queries over them.
 
     ``docs`` has doc_id, doc_seq (the collection's order), path, source, body, content_hash,
-    fm_format, fm_json, fm_error. All methods return DataFrames; nothing runs before an action.
+    fm_format, fm_json, fm_error, parse_error. All methods return DataFrames; nothing runs before an action.
     ``strip`` decides what is parsed as body: ``cli`` (the text after the frontmatter) or ``library``
     (the whole source, of which the parser itself skips a leading delimited block).
     """
@@ -46,7 +51,7 @@ class Library:
             "doc_id", "doc_seq", "path", "source",
             F.expr("substring(source, _fm.body_start + 1)").alias("body"),
             F.xxhash64("source").alias("content_hash"),
-            F.col("_fm.format").alias("fm_format"), F.col("_fm.json").alias("fm_json"), error.alias("fm_error"),
+            F.col("_fm.format").alias("fm_format"), F.col("_fm.json").alias("fm_json"), error.alias("fm_error"), _parse_error("source"),
         )
         return cls(docs, strip)
 
@@ -64,7 +69,7 @@ class Library:
         docs = df.select(
             F.col(id_col).cast("bigint").alias("doc_id"), F.col(seq_col or id_col).cast("bigint").alias("doc_seq"), (F.col(path_col) if path_col else F.lit(None)).cast("string").alias("path"),
             F.col(body_col).alias("source"), F.col(body_col).alias("body"), F.xxhash64(body_col).alias("content_hash"), F.col(format_col).alias("fm_format"),
-            fmf.to_json(F.col(fm_col), F.col(format_col)).alias("fm_json"), F.lit(None).cast("string").alias("fm_error"),
+            fmf.to_json(F.col(fm_col), F.col(format_col)).alias("fm_json"), F.lit(None).cast("string").alias("fm_error"), _parse_error(body_col),
         )
         return cls(docs)
 

@@ -33,7 +33,7 @@ def _lib(df, **options) -> Library:
 def _bare(df) -> Library:
     """Documents without frontmatter: nothing to sniff for."""
     docs = df.select("doc_id", F.col("doc_id").alias("doc_seq"), F.lit(None).cast("string").alias("path"), "source", F.col("source").alias("body"), F.xxhash64("source").alias("content_hash"))
-    return Library(docs.withColumns({c: F.lit(None).cast("string") for c in ("fm_format", "fm_json", "fm_error")}))
+    return Library(docs.withColumns({c: F.lit(None).cast("string") for c in ("fm_format", "fm_json", "fm_error", "parse_error")}))
 
 
 def _entries(spark, sf_dir) -> Library:
@@ -252,6 +252,12 @@ def parse_entries_profile(spark, sf_dir):
     return blocks.groupBy("kind", "depth", "level").agg(F.count("*").alias("n"), F.countDistinct("entry_id").alias("n_entries"))
 
 
+@_query("SELECT CASE WHEN d.n_big THEN 'broken' ELSE 'whole' END AS state, count(*)::BIGINT AS n FROM (SELECT strlen(document) > 16777216 AS n_big FROM entries) d GROUP BY 1")
+def s2_limits(spark, sf_dir):
+    """Documents above the size the parser takes are marked, not failed."""
+    return _entries(spark, sf_dir).docs.groupBy(F.when(F.col("parse_error").isNull(), "whole").otherwise("broken").alias("state")).agg(F.count("*").alias("n"))
+
+
 @_query()
 def agg_levels(spark, sf_dir):
     """Headings per level and in all: sums per section with a separate total."""
