@@ -131,6 +131,7 @@ class InlineParser:
         self.s, self.out, self.last = s, [], None
         self.brackets: list[_Bracket] = []
         self.no_ticks: dict[int, int] = {}
+        self.jumps: dict[int, int] = {}  # stretches of ``out`` that are inside a finished node: start to end
         self.ticks_scanned = False
         i, n, out = 0, len(s), self.out
         while i < n:
@@ -174,7 +175,7 @@ class InlineParser:
             else:
                 i = self._angle(i)
         self._emphasis(None)
-        result = self._merge([x for x in out if x is not None])
+        result = self._merge(self._live(0, len(out)))
         return _extend(result) if self.gfm else result
 
     # pieces ---------------------------------------------------------------------------------------
@@ -294,8 +295,9 @@ class InlineParser:
             return i + 1
         url, title, end = found
         self._emphasis(b.prev_run)
-        inner = self._merge([x for x in self.out[b.at + 1 :] if x is not None])
+        inner = self._merge(self._live(b.at + 1, len(self.out)))
         del self.out[b.at :]
+        self.jumps.clear()  # all of them lay inside the link
         if b.image:
             self.out.append(Inline("image", url=url, title=title, link_type=kind, alt=flatten(inner)))
         else:
@@ -372,16 +374,15 @@ class InlineParser:
                 closer = following
                 continue
             use = closer.count if closer.char == "~" else 2 if closer.count >= 2 and opener.count >= 2 else 1
-            inner = self._merge([x for x in out[opener.at + 1 : closer.at] if x is not None])
+            inner = self._merge(self._live(opener.at + 1, closer.at))
             if any(x.height >= MAX_DEPTH for x in inner):
-                following = closer.next
-                self._drop(closer)
-                closer = following
+                while opener is not None and opener is not bottom:  # all of them would enclose it too
+                    before = opener.prev
+                    self._drop(opener)
+                    opener = before
                 continue
             kind = "strikethrough" if closer.char == "~" else "strong" if use == 2 else "emphasis"
             node = Inline(kind, children=inner, marker=None if closer.char == "~" else closer.char)
-            for k in range(opener.at + 1, closer.at):
-                out[k] = None
             between = opener.next
             while between is not closer:
                 following = between.next
@@ -394,14 +395,13 @@ class InlineParser:
             # The node goes between what is left of both runs; if nothing is left of one, into its place.
             if opener.count == 0:
                 out[opener.at] = node
+                self.jumps[opener.at + 1] = closer.at
                 self._drop(opener)
-            elif opener.at + 1 < closer.at:
+            else:  # there is something between the runs, or they would be one
                 out[opener.at + 1] = node
-            elif closer.count == 0:
-                out[closer.at] = node
+                self.jumps[opener.at + 2] = closer.at
             if closer.count == 0:
-                if out[closer.at] is not node:
-                    out[closer.at] = None
+                out[closer.at] = None
                 following = closer.next
                 self._drop(closer)
                 closer = following
@@ -416,6 +416,22 @@ class InlineParser:
         else:
             self.last = run.prev
 
+    def _live(self, at: int, end: int) -> list[Inline]:
+        """The nodes between two places that are not inside a finished node."""
+        out, jumps = self.out, self.jumps
+        if not jumps:
+            return [x for x in out[at:end] if x is not None]
+        found = []
+        while at < end:
+            to = jumps.get(at)
+            if to is not None and to > at:
+                at = to
+                continue
+            if out[at] is not None:
+                found.append(out[at])
+            at += 1
+        return found
+
     @staticmethod
     def _merge(items: list[Inline]) -> list[Inline]:
         """Joins neighbouring text; an escaped ampersand stays alone, as its content is no reference."""
