@@ -16,14 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Links, codes and inserted references, which say nothing about the reading level.
-NOISE = re.compile(r"(?:https?://|www\.)\S+|\b[A-Z]{2,}-[\w-]+|\b\w{1,4}\.\s*\d+|§\s*\d+|\S*\d\S*")
+NOISE = re.compile(r"(?:https?://|www\.)\S+|\b[A-Z]{2,}-[\w-]+|\b\w{1,4}\.\s*\d+|§\s*\d+")
 WORD = re.compile(r"[^\W\d_]+")
+_DIGIT = re.compile(r"\d")
 _SPLIT = re.compile(r"(?<=\w)[-\u00ad]\s*\n\s*(?=\w)")
 
 
 def words(text: str) -> list[str]:
     """Lower-case words; capitals, line breaks, codes, links and references leave no trace."""
-    return WORD.findall(NOISE.sub(" ", _SPLIT.sub("", text)).lower())
+    runs = NOISE.sub(" ", _SPLIT.sub("", text)).lower().split()
+    return WORD.findall(" ".join(r for r in runs if not _DIGIT.search(r)))
 
 
 class Model:

@@ -41,15 +41,17 @@ REFERENCE = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{
 WIKI_TAG = re.compile(rf"</?(?:{'|'.join(WIKI_NAMES)})\b[^>\n]*>", re.I)
 SOURCE_TAG = re.compile(r"</?(?:nowiki|syntaxhighlight)\b[^>\n]*>|<source\b(?:[^>\n]*\blang\b[^>\n]*)?>|</source>", re.I)
 WIKI_HEADING = re.compile(r"^(={1,6})[ \t]*([^=\s](?:[^\n]*[^=\s])?)[ \t]*\1[ \t]*\r?$", re.M)
-WIKI_QUOTES = re.compile(r"(?<![\w'])('{2,3}|'{5})(?=[^\s'])([^\n]*?[^\s'])\1(?![\w'])")
+WIKI_QUOTES = re.compile(r"(?<![\w'])('{2,3}|'{5})(?=[^\s'])((?:[^\n']|'(?!'))*?[^\s'])\1(?![\w'])")  # inner marks go first
 WIKI_LINK = re.compile(r"\[\[([^\[\]\n]+(?:\[\[[^\[\]\n]*\]\][^\[\]\n]*)*)\]\](?!\()")
 WIKI_URL = re.compile(r"(?<!\])\[((?:https?|ftp)://[^\s\]]+)[ \t]+([^\]\n]+)\](?![(\[:])")
 WIKI_TEMPLATE = re.compile(r"\{\{(?!\{)[ \t]*[#:\w][^{}]*?\}\}")
 WIKI_TABLE = re.compile(r"^[ \t:*]*\{\|(?=[^\n]*$)(.*?)(?:^[ \t]*\|\}|\Z)", re.M | re.S)
-TEX_COMMAND = re.compile(r"(?<![\w\\])\\[A-Za-z]{2,}\*?(?:\[[^\]\n]*\])?\{")
+TEX_COMMAND = re.compile(r"(?<![\w\\])\\[A-Za-z]{2,}\*?(?:\[[^\[\]\n]*\])?\{")
 TEX_NAMED = re.compile(rf"(?<![\w\\])\\(?:{'|'.join(TEX_BARE)})(?![A-Za-z\\])")
 TEX_MATH = re.compile(r"(?<![\\$\w])\$(?![\s$])([^$\n]*[^\s$\\])\$(?![\w$])|(?<![\\$])\$\$(?!\$)(.+?)\$\$", re.S)
-TEX_PAREN = re.compile(r"\\\((?=[^\n]*?(?:\\[A-Za-z]|[\^_=<>+]))(.+?)\\\)|\\\[(?=.*?(?:\\[A-Za-z]|[\^_=]))([^\n]+?|\n.+?\n)\\\]", re.S)
+# No \\( or \\[ inside: an opener without its closer ends at the next opener, which keeps this linear.
+TEX_PAREN = re.compile(r"\\\(((?:[^\\]|\\(?![()]))+)\\\)|\\\[((?:[^\\]|\\(?![\[\]]))+)\\\]")
+_PAREN_MATH, _BRACKET_MATH, _GAP = re.compile(r"\\[A-Za-z]|[\^_=<>+]"), re.compile(r"\\[A-Za-z]|[\^_=]"), re.compile(r"\n[ \t]*\r?\n")
 _MATHLIKE = re.compile(r"[\\^_=+<>*/-]|^[A-Za-z]$")
 
 FENCED = re.compile(r"^( {0,3}(?:> ?)*[ \t]*(?:[-*+] +)?)(`{3,}(?=[^`\n]*$)|~{3,})[^\n]*\n(?:.*?^[ \t>]*\2[`~]*[ \t]*\r?$|.*\Z)", re.M | re.S)
@@ -96,6 +98,12 @@ def _is_math(m: re.Match) -> bool:
     return m[2] is not None or bool(_MATHLIKE.search(m[1]))
 
 
+def _is_paren_math(m: re.Match) -> bool:
+    """Whether escaped parentheses or brackets hold a formula, and not words that Markdown escapes."""
+    body, pattern = (m[1], _PAREN_MATH) if m[1] is not None else (m[2], _BRACKET_MATH)
+    return bool(pattern.search(body)) and not _GAP.search(body)
+
+
 def entry_kinds(text: str) -> list[str]:
     """The foreign markup of a Markdown text outside its code: html, wiki, latex, in this order."""
     text, _ = protect(text)
@@ -113,7 +121,7 @@ def entry_kinds(text: str) -> list[str]:
         or ("://" in text and WIKI_URL.search(text))
     ):
         out.append("wiki")
-    if ("\\" in text and (TEX_COMMAND.search(text) or TEX_NAMED.search(text) or TEX_PAREN.search(text))) or ("$" in text and any(map(_is_math, TEX_MATH.finditer(text)))):
+    if ("\\" in text and (TEX_COMMAND.search(text) or TEX_NAMED.search(text) or any(map(_is_paren_math, TEX_PAREN.finditer(text))))) or ("$" in text and any(map(_is_math, TEX_MATH.finditer(text)))):
         out.append("latex")
     return out
 
@@ -125,7 +133,7 @@ OWN = {
     "wiki": {"wiki", "mediawiki", "wikitext"},
     "markdown": {"markdown", "md", "mdx", "gfm", "commonmark"},
 }
-BLOCK_TEX = re.compile(r"(?<![\w\\])\\(?:[A-Za-z]{2,})\*?(?:\[[^\]\n]*\])?\{|\{\\(?:tt|bf|it|em|sf|sc)\b|(?<![\w\\])\\verb(?=[|!+])")
+BLOCK_TEX = re.compile(r"(?<![\w\\])\\(?:[A-Za-z]{2,})\*?(?:\[[^\[\]\n]*\])?\{|\{\\(?:tt|bf|it|em|sf|sc)\b|(?<![\w\\])\\verb(?=[|!+])")
 BLOCK_TEMPLATE = re.compile(r"\{\{[ \t]*[A-Za-z][\w ]*\|")
 BLOCK_WIKI_LINK = re.compile(r"\[\[(?:File|Image|Category|Template|Help):[^\[\]\n]+\]\]", re.I)
 BLOCK_BOLD = re.compile(r"(?<!\w)\*\*(?=[^\s*])([^*\n]*[^\s*])?\*\*(?!\w)")
@@ -239,10 +247,10 @@ def _from_wiki(text: str) -> str:
 def _from_latex(text: str) -> str:
     text = re.sub(r"\\(chapter|section|subsection|subsubsection|paragraph)\*?\{([^{}]*)\}", lambda m: f"{'#' * {'chapter': 1, 'section': 2, 'subsection': 3}.get(m[1], 4)} {m[2]}", text)
     text = re.sub(r"\\begin\{(equation|align|displaymath|gather|eqnarray)\*?\}(.*?)\\end\{\1\*?\}", lambda m: f"$$ {m[2].strip()} $$", text, flags=re.S)
-    text = re.sub(r"\\begin\{(verbatim|lstlisting|minted)\}(?:\[[^\]\n]*\])?(?:\{[^}\n]*\})?\n?(.*?)\\end\{\1\}", lambda m: "\n```\n" + m[2].rstrip("\n") + "\n```\n", text, flags=re.S)
-    text = re.sub(r"\\(?:begin|end)\{[^{}\n]*\}(?:\[[^\]\n]*\])?\n?", "", text)
-    text = re.sub(r"^[ \t]*\\item(?:\[[^\]\n]*\])?[ \t]*", "- ", text, flags=re.M)
-    text = re.sub(r"\\(?:cite|ref|label|pageref|footnotemark|vspace|hspace|includegraphics|input|usepackage|documentclass)\*?(?:\[[^\]\n]*\])?\{[^{}]*\}", "", text)
+    text = re.sub(r"\\begin\{(verbatim|lstlisting|minted)\}(?:\[[^\[\]\n]*\])?(?:\{[^}\n]*\})?\n?(.*?)\\end\{\1\}", lambda m: "\n```\n" + m[2].rstrip("\n") + "\n```\n", text, flags=re.S)
+    text = re.sub(r"\\(?:begin|end)\{[^{}\n]*\}(?:\[[^\[\]\n]*\])?\n?", "", text)
+    text = re.sub(r"^[ \t]*\\item(?:\[[^\[\]\n]*\])?[ \t]*", "- ", text, flags=re.M)
+    text = re.sub(r"\\(?:cite|ref|label|pageref|footnotemark|vspace|hspace|includegraphics|input|usepackage|documentclass)\*?(?:\[[^\[\]\n]*\])?\{[^{}]*\}", "", text)
     text = re.sub(r"\\texttt\{([^{}]*)\}", r"`\1`", text)
     text = re.sub(r"\\href\{[^{}]*\}\{([^{}]*)\}", r"\1", text)
     math: list[str] = []
@@ -251,12 +259,15 @@ def _from_latex(text: str) -> str:
         math.append(m[0])
         return f"\x01{len(math) - 1}\x01"
 
-    text = re.sub(r"\$\$.+?\$\$|(?<![\\$\w])\$[^$\n]+\$|\\\(.+?\\\)|\\\[.+?\\\]", keep, text, flags=re.S)
+    text = re.sub(r"\$\$.+?\$\$|(?<![\\$\w])\$[^$\n]+\$", keep, text, flags=re.S)
+    text = TEX_PAREN.sub(keep, text)
     for _ in range(5):
         text, n = re.subn(r"\\(?:text\w{2,}|emph|underline|uline|mbox|footnote|caption|title|author|date|mathrm)\*?\{([^{}]*)\}", r"\1", text)
         if not n:
             break
-    return re.sub("\x01(\\d+)\x01", lambda m: math[int(m[1])], text)
+    for _ in range(2):  # a formula in parentheses may hold one in dollars
+        text = re.sub("\x01(\\d+)\x01", lambda m: math[int(m[1])], text)
+    return text
 
 
 def _from_markdown(text: str) -> str:
@@ -293,7 +304,7 @@ def clean_block(content: str, language: str | None) -> str:
             content = re.sub(r"\A\s*\{\{[ \t]*[A-Za-z][\w ]*\|(?:1=|code=)?\n?(.*?)\n?\}\}\s*\Z", r"\1", content, flags=re.S)
             content = BLOCK_WIKI_LINK.sub("", content)
         elif kind == "latex":
-            content = re.sub(r"^[ \t]*\\(?:begin|end)\{\w+\*?\}(?:\[[^\]\n]*\])?[ \t]*\n?", "", content, flags=re.M)
+            content = re.sub(r"^[ \t]*\\(?:begin|end)\{\w+\*?\}(?:\[[^\[\]\n]*\])?[ \t]*\n?", "", content, flags=re.M)
             content = re.sub(r"^\\text\w+\{(.*)\}[ \t]*(?:\\\\)?[ \t]*$", r"\1", content, flags=re.M)
         else:
             if _quoted(content):

@@ -147,3 +147,17 @@ def test_held_out_accuracy(small):
 
 def test_word_pattern():
     assert re.findall(reading.WORD, "l'école 7 a_b") == ["l", "école", "a", "b"]
+
+
+@pytest.mark.parametrize("unit", ["<a b ", "[[", "{{a", "<!--", "\\(", "''a ", "\\ab[", "`a\n", "$a ", "&a", "```\n"])
+def test_hostile_texts_take_no_long_time(unit):
+    import time
+
+    began = time.perf_counter()
+    text = unit * 10_000
+    residue.clean_entry(text)
+    residue.entry_kinds(text)
+    residue.clean_block(text, None)
+    reading.words(text)
+    chunking.pieces(text, 4000, 200)
+    assert time.perf_counter() - began < 5
