@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import json
+import math
+import re
 
 import pyarrow as pa
 import xxhash
@@ -21,20 +22,41 @@ def promote(bits: int) -> str:
     return LATTICE.get(bits, "string")
 
 
+BEYOND_BIGINT, BEYOND_DECIMAL, BEYOND_DOUBLE = 1, 2, 4
+
+
+def misfit(bits: int, values: list[str]) -> int:
+    """Which number types cannot hold some of a field's values, as bits; 0 where not all are numbers."""
+    if bits & ~(jsontree.BIT["integer"] | jsontree.BIT["float"]):
+        return 0  # promoted to string anyway
+    out = 0
+    for v in values:
+        near = float(v)
+        if any(c in v for c in ".eE"):
+            lost = math.isinf(near) or near == 0 and any(c in "123456789" for c in re.split("[eE]", v)[0])
+        elif len(v.lstrip("-")) > 38:
+            out, lost = out | BEYOND_BIGINT | BEYOND_DECIMAL, True
+        else:
+            whole = int(v)
+            out, lost = out | (0 if -(1 << 63) <= whole < 1 << 63 else BEYOND_BIGINT), int(near) != whole
+        out |= BEYOND_DOUBLE if lost else 0
+    return out
+
+
 def observe(df: DataFrame, keys: list[str], json_col: str) -> DataFrame:
-    """One row per readable record and field: keys, field, types (bits), value (hash), text.
+    """One row per readable record and field: keys, field, types (bits), value (hash), items, misfit.
 
-    ``value`` hashes the field's values in order, each written as text; ``text`` is the value itself
-    where the field occurs once in the record and holds no list, else the values' JSON list. A
-    readable record without any field gives one row with a null field, so its export is known.
+    ``items`` are the field's values in order, each written as text, and ``value`` is their hash;
+    ``misfit`` has the bits of ``misfit()``. A readable record without any field gives one row with
+    a null field, so its export is known.
     """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", field string, types int, value bigint, text string"
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", field string, types int, value bigint, items array<string>, misfit int"
     n = len(keys)
 
     def run(batches):
         for batch in batches:
-            take, field, types, value, text = [], [], [], [], []
+            take, field, types, value, items, misfits = [], [], [], [], [], []
             for i, raw in enumerate(batch.column(n).to_pylist()):
                 root = jsontree.read_root(raw)
                 if root is None:
@@ -45,12 +67,12 @@ def observe(df: DataFrame, keys: list[str], json_col: str) -> DataFrame:
                     field.append(name)
                     types.append(bits)
                     value.append(xxhash.xxh64_intdigest("\x1f".join(values).encode("utf-8", "surrogatepass")) - (1 << 63))
-                    single = len(values) == 1 and name is not None and "[]" not in name
-                    text.append(values[0] if single else json.dumps(values, ensure_ascii=False) if values else None)
+                    items.append(values)
+                    misfits.append(misfit(bits, values))
             at = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(k).take(at) for k in range(n)], pa.array(field, pa.string()), pa.array(types, pa.int32()), pa.array(value, pa.int64()), pa.array(text, pa.string())],
-                [*keys, "field", "types", "value", "text"],
+                [*[batch.column(k).take(at) for k in range(n)], pa.array(field, pa.string()), pa.array(types, pa.int32()), pa.array(value, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(misfits, pa.int32())],
+                [*keys, "field", "types", "value", "items", "misfit"],
             )
 
     return df.select(*keys, json_col).mapInArrow(run, schema)
@@ -64,7 +86,7 @@ def changes(files: DataFrame, min_files: int = 3, share: float = 0.8) -> DataFra
     ``min_files``), at least ``share`` have the same values in the same order. Of a file that an
     export holds twice, the latest row counts. Exports without a readable row do not exist.
     """
-    seen = materialize(observe(files, ["library_id", "export_no", "exported_at", "fm_id", "path"], "root").drop("text"), "drift")
+    seen = materialize(observe(files, ["library_id", "export_no", "exported_at", "fm_id", "path"], "root").drop("items", "misfit"), "drift")
     types = seen.groupBy("library_id", "export_no", "field").agg(F.bit_or("types").alias("types"))
     exports = types.select("library_id", "export_no").distinct()
     compared = exports.join(exports.select("library_id", (F.col("export_no") + 1).alias("export_no")), ["library_id", "export_no"])
@@ -107,20 +129,37 @@ def change_log(files: DataFrame) -> DataFrame:
 
 
 def union_schema(seen: DataFrame) -> DataFrame:
-    """(field, types, spark_type, records): all observations folded through the promotion lattice."""
+    """(field, types, spark_type, records, item_type, many): all observations folded through the lattice.
+
+    ``spark_type`` is the promoted type of the field's values. ``item_type`` is that too unless values
+    do not fit: then decimal(38,0) for integers, else string. ``many`` says that a record can hold
+    several values: the field lies below a list, or occurs twice in some record.
+    """
     whens = F.lit("string")
     for bits, name in LATTICE.items():
         whens = F.when(F.col("types") == bits, name).otherwise(whens)
-    return seen.where("field is not null").groupBy("field").agg(F.bit_or("types").alias("types"), F.count("*").alias("records")).withColumn("spark_type", whens)
+    folded = seen.where("field is not null").groupBy("field").agg(
+        F.bit_or("types").alias("types"), F.count("*").alias("records"), F.bit_or("misfit").alias("misfit"), (F.col("field").contains("[]") | (F.max(F.size("items")) > 1)).alias("many")
+    )
+    beyond = lambda bit: F.col("misfit").bitwiseAND(bit) != 0
+    item = (
+        F.when((F.col("spark_type") == "bigint") & beyond(BEYOND_BIGINT), F.when(beyond(BEYOND_DECIMAL), "string").otherwise("decimal(38,0)"))
+        .when((F.col("spark_type") == "double") & beyond(BEYOND_DOUBLE), "string")
+        .otherwise(F.col("spark_type"))
+    )
+    return folded.withColumn("spark_type", whens).withColumn("item_type", item).drop("misfit")
 
 
 def unify(files: DataFrame, keys: list[str], json_col: str = "root", max_columns: int = 2000) -> DataFrame:
     """Every readable record in one table: the keys, then each field cast to its promoted type.
 
+    A field of which a record can hold several values (below a list, or a dotted key beside a nested
+    one) is an array of that type, its values in order. Numbers that the promoted type cannot hold
+    widen the whole field, to decimal(38,0) or string, so every value is kept.
+
     The union schema is bounded by the number of distinct fields; more than ``max_columns`` raise an
     error instead of a silently cut table. Column names keep the field's path; one that clashes with
-    a key, or with another field in another case, gets a trailing underscore. Values that do not
-    fit, which promotion rules out, would be null.
+    a key, or with another field in another case, gets a trailing underscore.
     """
     seen = materialize(observe(files, keys, json_col), "unify")
     schema = union_schema(seen).orderBy("field").limit(max_columns + 1).collect()
@@ -135,6 +174,10 @@ def unify(files: DataFrame, keys: list[str], json_col: str = "root", max_columns
             name += "_"
         taken.add(name.lower())
         names.append(name)
-    wide = seen.groupBy(*keys).pivot("field", [r["field"] for r in schema]).agg(F.first("text"))
+    wide = seen.groupBy(*keys).pivot("field", [r["field"] for r in schema]).agg(F.first("items"))
     wide = wide.toDF(*keys, *[f"_f{i}" for i in range(len(schema))])
-    return wide.select(*keys, *[F.col(f"_f{i}").try_cast(r["spark_type"]).alias(n) for i, (r, n) in enumerate(zip(schema, names))])
+
+    def column(items, r):
+        return F.transform(items, lambda x: x.cast(r["item_type"])) if r["many"] else F.get(items, 0).cast(r["item_type"])
+
+    return wide.select(*keys, *[column(F.col(f"_f{i}"), r).alias(n) for i, (r, n) in enumerate(zip(schema, names))])

@@ -167,3 +167,27 @@ def test_unify(spark):
     except ValueError:
         pass
     assert [drift.promote(b) for b in (1, 2, 4, 6, 8, 10, 16, 3)] == ["string", "bigint", "double", "double", "boolean", "string", "string", "string"]
+
+
+def test_unify_keeps_every_value(spark):
+    """Below lists, in fields that occur twice in a record, and in numbers beyond 64 bits."""
+    long = "1" + "0" * 5000
+    roots = [
+        '{"l": [{"n": 412, "f": 1, "b": true, "s": "x", "m": [1]}, {"n": 7, "f": 2.5, "b": false, "s": "[1]"}], "g": [[{"c": 1}], [{"c": 2}]], "a.b": 1, "a": {"b": 2}}',
+        f'{{"l": [{{"n": -1}}], "a": {{"b": 3}}, "big": {2**63}, "huge": {long}, "mixed": {2**53 + 1}, "whole": 5, "far": 1e400, "tiny": 1e-400}}',
+        f'{{"big": -{10**37}, "huge": 1, "mixed": 0.5, "whole": {2**63 - 1}, "far": 1.0, "tiny": 0.0}}',
+        "{}",
+    ]
+    out = drift.unify(spark.createDataFrame(list(enumerate(roots)), "id int, root string"), ["id"])
+    kinds = dict(out.dtypes)
+    assert kinds == {
+        "id": "int", "l": "string", "g": "string", "l[].n": "array<bigint>", "l[].f": "array<double>", "l[].b": "array<boolean>", "l[].s": "array<string>", "l[].m": "array<string>", "g[][].c": "array<bigint>",
+        "a.b": "array<bigint>", "big": "decimal(38,0)", "huge": "string", "mixed": "string", "whole": "bigint", "far": "string", "tiny": "string",
+    }
+    found = [{k: v for k, v in r.asDict().items() if v is not None and k not in ("id", "l", "g")} for r in sorted(out.collect(), key=lambda r: r["id"])]
+    assert found == [
+        {"l[].n": [412, 7], "l[].f": [1.0, 2.5], "l[].b": [True, False], "l[].s": ["x", "[1]"], "l[].m": ['["1"]'], "g[][].c": [1, 2], "a.b": [1, 2]},
+        {"l[].n": [-1], "a.b": [3], "big": 2**63, "huge": long, "mixed": str(2**53 + 1), "whole": 5, "far": "1e400", "tiny": "1e-400"},
+        {"big": -(10**37), "huge": "1", "mixed": "0.5", "whole": 2**63 - 1, "far": "1.0", "tiny": "0.0"},
+        {},
+    ]
