@@ -2,9 +2,9 @@
 
 Two forms of one rule, "listing minus manifest":
 
-* ``ManifestStore`` is the running form: a manifest of processed inputs with size and checksum, an
-  anti-join of the present listing against it, output written under the batch identifier (so that a
-  repeated attempt replaces its own output), and the manifest committed last.
+* ``ManifestStore`` is the running form: a manifest of the inputs of the last run with size and
+  checksum, an anti-join of the present listing against it, output written under the batch identifier
+  (so that a repeated attempt replaces its own output), and the manifest committed last.
 * ``replay`` is the set-oriented form over a history of deliveries and load runs: what every run had
   to process, for all runs at once. The manifest of run n is the state at its cutoff, so anti-joining
   listing n against manifest n - 1 on (file, checksum) becomes a comparison with the file's previous
@@ -132,9 +132,11 @@ def list_files(root: str, suffix: str = "") -> list[tuple[str, int, str]]:
 class ManifestStore:
     """Batches and the manifest of what they processed, under one folder of a shared file system.
 
-    ``data/batch_id=…`` holds output, ``manifest/batch_id=…`` the inputs it came from. A batch counts
-    only once its manifest folder has its _SUCCESS marker, so an attempt that dies anywhere before
-    that leaves nothing visible, and its repetition overwrites the same folders.
+    ``data/batch_id=…`` holds output, ``manifest/batch_id=…/seq=N`` the whole listing that batch N in
+    order of commits saw. What is new is judged by the last of them, so a file that returns to an
+    earlier content, or comes back after it was gone, is processed again. A batch counts only once its
+    manifest has its _SUCCESS marker, so an attempt that dies anywhere before that leaves nothing
+    visible, and its repetition overwrites the same folders. One batch runs at a time.
     """
 
     KEYS = ["path", "size", "checksum"]
@@ -143,36 +145,52 @@ class ManifestStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _committed(self) -> list[str]:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest")
+    def _committed(self) -> list[tuple[int, str, str]]:
+        """(seq, batch identifier, manifest folder) of each batch, in order of commits.
+
+        Manifests without a number, of what single batches processed, come before the others as 0.
+        """
+        Path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        path = Path(f"{self.root}/manifest")
         fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         if not fs.exists(path):
             return []
-        found = [s.getPath() for s in fs.listStatus(path)]
-        return sorted(p.getName().split("=", 1)[1] for p in found if p.getName().startswith("batch_id=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        found = []
+        for batch in (s.getPath() for s in fs.listStatus(path)):
+            if batch.getName().startswith("batch_id="):
+                numbered = [s.getPath() for s in fs.listStatus(batch) if s.getPath().getName().startswith("seq=")]
+                for folder in [batch, *numbered]:
+                    if fs.exists(Path(folder, "_SUCCESS")):
+                        seq = 0 if folder is batch else int(folder.getName().split("=", 1)[1])
+                        found.append((seq, batch.getName().split("=", 1)[1], folder.toString()))
+        return sorted(found)
 
     def manifest(self) -> DataFrame:
-        """All processed inputs; empty before the first commit."""
-        paths = [f"{self.root}/manifest/batch_id={b}" for b in self._committed()]
+        """The inputs as the last committed batch saw them; empty before the first commit."""
+        done = self._committed()
+        paths = [folder for seq, _, folder in done if seq == done[-1][0]]
         return self.spark.read.schema(self.SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], self.SCHEMA)
 
     def data(self) -> DataFrame | None:
         """Output of the committed batches, or None before the first."""
-        paths = [f"{self.root}/data/batch_id={b}" for b in self._committed()]
+        paths = [f"{self.root}/data/batch_id={b}" for _, b, _ in self._committed()]
         return self.spark.read.option("basePath", f"{self.root}/data").parquet(*paths) if paths else None
 
     def run(self, listing: DataFrame, batch_id: str, process) -> DataFrame:
         """Process what is new in ``listing`` with ``process(pending) -> DataFrame``; returns the new inputs.
 
-        A batch identifier that is committed already does nothing, whatever the listing says.
+        ``listing`` is everything there is now; a file it lacks counts as gone. A batch identifier
+        that is committed already does nothing, whatever the listing says.
         """
-        if batch_id in self._committed():
+        done = self._committed()
+        if batch_id in [b for _, b, _ in done]:
             return self.spark.createDataFrame([], self.SCHEMA)
-        todo = pending(listing, self.manifest(), self.KEYS)
-        inputs = f"{self.root}/inputs/batch_id={batch_id}"  # fixed before processing, so data and manifest agree
-        todo.select(*self.KEYS).distinct().write.mode("overwrite").parquet(inputs)
+        # Listing and inputs are fixed before processing, so data and manifest agree.
+        listed, inputs = (f"{self.root}/{x}/batch_id={batch_id}" for x in ("listing", "inputs"))
+        listing.select(*self.KEYS).distinct().write.mode("overwrite").parquet(listed)
+        present = self.spark.read.schema(self.SCHEMA).parquet(listed)
+        pending(present, self.manifest(), self.KEYS).write.mode("overwrite").parquet(inputs)
         fixed = self.spark.read.schema(self.SCHEMA).parquet(inputs)
         process(fixed).write.mode("overwrite").parquet(f"{self.root}/data/batch_id={batch_id}")
-        fixed.write.mode("overwrite").parquet(f"{self.root}/manifest/batch_id={batch_id}")
+        present.write.mode("overwrite").parquet(f"{self.root}/manifest/batch_id={batch_id}/seq={done[-1][0] + 1 if done else 1}")
         return fixed

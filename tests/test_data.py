@@ -95,6 +95,19 @@ def test_manifest_survives_failures(spark, tmp_path):
     assert [x[1] for x in incremental.list_files(str(tmp_path), ".md")] == [5]
 
 
+def test_manifest_sees_earlier_content_again(spark, tmp_path):
+    """A, B, A; gone and back; everything gone; batch identifiers out of order."""
+    store = incremental.ManifestStore(spark, str(tmp_path / "store"))
+    steps = [
+        ("10", {"a": ["x"], "b": ["y"]}, ["a", "b"]), ("9", {"a": ["z"], "b": ["y"]}, ["a"]), ("8", {"a": ["x"], "b": ["y"]}, ["a"]), ("7", {"a": ["x"]}, []), ("6", {"a": ["x"], "b": ["y"]}, ["b"]),
+        ("5", {}, []), ("4", {"b": ["y", "w"]}, ["b", "b"]), ("3", {"b": ["y", "v"]}, ["b"]), ("2", {"b": ["y", "v"]}, []), ("1", {"b": ["y", "w"]}, ["b"]),
+    ]
+    for batch, files, new in steps:
+        listing = spark.createDataFrame([(p, 1, c) for p, cs in files.items() for c in cs], "path string, size bigint, checksum string")
+        assert sorted(r["path"] for r in store.run(listing, batch, lambda df: df).collect()) == new, batch
+    assert store.data().where("path = 'a' and checksum = 'x'").count() == 2
+
+
 ROOTS = [
     (1, '{"a": {"b": [{"c": 1}, [{"d": {}}], 2, "{}"]}, "k.v": {"x": null}}'),
     (2, json.dumps('{"o": {"p": "q"}}')), (3, None), (4, '{"a": '), (5, "[1]"), (6, ""), (7, "{}"), (8, '{"a": NaN}'), (9, '{"a": {"z": 1}, "a": {"y": "\\ud800"}}'), (9, '{"a": {"z": 1}}'),
