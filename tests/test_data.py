@@ -108,6 +108,20 @@ def test_manifest_sees_earlier_content_again(spark, tmp_path):
     assert store.data().where("path = 'a' and checksum = 'x'").count() == 2
 
 
+def test_manifest_agrees_with_replay(spark, tmp_path):
+    """The store, run over the listing at each cutoff, has to do what replay finds for all runs at once."""
+    at = lambda h: T0 + timedelta(hours=h)
+    states = [("a", 1), ("b", 7), ("a", 2), ("a", 1), ("c", 7), ("b", 7)]  # a goes back, b is delivered again unchanged
+    feed = [(i, 1, p, h, 9, None, at(i), "s") for i, (p, h) in enumerate(states)]
+    runs = [(i, 1, at(i) + timedelta(minutes=1), "succeeded") for i in (1, 2, 3, 5)]
+    store, done = incremental.ManifestStore(spark, str(tmp_path / "store")), set()
+    for run, _, cutoff, _ in runs:
+        newest = {f[2]: f for f in feed if f[6] <= cutoff}
+        listing = spark.createDataFrame([(p, f[4], str(f[3])) for p, f in newest.items()], "path string, size bigint, checksum string")
+        done |= {(run, newest[r["path"]][0]) for r in store.run(listing, str(run), lambda df: df).collect()}
+    assert done == {tuple(r) for r in incremental.replay(spark.createDataFrame(feed, FEED), spark.createDataFrame(runs, RUNS)).collect()} == {(1, 0), (1, 1), (2, 2), (3, 3), (5, 4)}
+
+
 ROOTS = [
     (1, '{"a": {"b": [{"c": 1}, [{"d": {}}], 2, "{}"]}, "k.v": {"x": null}}'),
     (2, json.dumps('{"o": {"p": "q"}}')), (3, None), (4, '{"a": '), (5, "[1]"), (6, ""), (7, "{}"), (8, '{"a": NaN}'), (9, '{"a": {"z": 1}, "a": {"y": "\\ud800"}}'), (9, '{"a": {"z": 1}}'),
