@@ -236,58 +236,70 @@ def candidates(reps: DataFrame, similarity: float) -> DataFrame:
     return two.unionByName(many.where("a < b")).distinct()
 
 
-def shingle_sets(df: DataFrame, id_col: str, text_col: str, words: int, min_words: int) -> DataFrame:
-    kind = df.schema[id_col].dataType.simpleString()
+def shingle_sets(df: DataFrame, text_col: str, words: int, min_words: int) -> DataFrame:
+    """(digest, set) of each text; digests as in ``features``."""
 
     def run(batches):
         shingle = Shingler(words)
         for batch in batches:
-            take, sets = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            digests, sets = [], []
+            for text in batch.column(0).to_pylist():
                 h = shingle(text, min_words) if text is not None else None
                 if h is not None:
-                    take.append(i)
+                    digests.append(xxhash.xxh3_128_digest(h.tobytes()))
                     sets.append(h.view(np.int64))
             offsets = pa.array(np.cumsum([0, *map(len, sets)], dtype=np.int64).astype(np.int32))
             flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["id", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["digest", "set"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"id {kind}, set array<bigint>")
+    return df.select(text_col).mapInArrow(run, "digest binary, set array<bigint>")
 
 
 def links(df: DataFrame, id_col: str, text_col: str, words: int = 5, similarity: float = 0.8, min_words: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(members, links): (id, class_id) for every document with a shingle set, and (a, b, similarity)
-    between class representatives.
+    """(members, links): (id, class_id, class_no) for every document and shingle set it has, and
+    (a, b, similarity) between the numbers of classes.
 
-    A class holds the documents with the same shingle set, its representative is the least id; links
-    join different classes whose Jaccard similarity reaches the threshold. Null texts, and texts under
+    A class holds the documents with the same shingle set, ``class_id`` is the least of them and
+    ``class_no`` its own number, as classes of an identifier with several texts may have the same
+    least one; links join different classes whose Jaccard similarity reaches the threshold. Null texts, and texts under
     ``min_words`` or ``words`` words, are in no class; rows without an identifier are left out. A row
     that occurs twice counts once; one identifier with several texts is linked by any of them. An
     empty table gives two empty ones.
     """
     df = df.where(F.col(id_col).isNotNull())
     found = materialize(features(df, id_col, text_col, words, similarity, min_words), "neardup")
-    class_of = found.groupBy("digest").agg(F.min("id").alias("class_id"))
-    members = found.select("id", "digest").join(class_of, "digest").groupBy("id").agg(F.min("class_id").alias("class_id"))
+    classes = found.groupBy("digest").agg(F.min("id").alias("class_id")).withColumn("class_no", F.monotonically_increasing_id())
+    classes = materialize(classes, "neardup-classes")
+    members = found.select("id", "digest").join(classes, "digest").select("id", "class_id", "class_no").distinct()
     members = materialize(members, "neardup-members")
-    reps = found.join(members.where("id = class_id").select("id"), "id", "left_semi")
+    reps = found.join(classes.withColumnRenamed("class_id", "id"), ["id", "digest"]).drop("id", "digest").withColumnRenamed("class_no", "id")
     near = materialize(candidates(reps, similarity), "neardup-candidates")
-    wanted = near.select(F.col("a").alias("_w")).union(near.select("b")).distinct()
-    sets = shingle_sets(df.join(wanted, df[id_col] == wanted["_w"], "left_semi"), id_col, text_col, words, min_words)
+    wanted = near.select(F.col("a").alias("class_no")).union(near.select("b")).distinct().join(classes, "class_no")
+    wanted = materialize(wanted, "neardup-wanted")
+    sets = shingle_sets(df.join(wanted.select(F.col("class_id").alias("_w")), df[id_col] == F.col("_w"), "left_semi"), text_col, words, min_words)
     sets = materialize(sets, "neardup-sets")
-    both = near.join(sets.select(F.col("id").alias("a"), F.col("set").alias("_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("_b")), "b")
+    side = lambda c: wanted.select(F.col("class_no").alias(c), F.col("digest").alias(f"_d{c}"))
+    both = near.join(side("a"), "a").join(side("b"), "b")
+    for c in ("a", "b"):
+        both = both.join(sets.select(F.col("digest").alias(f"_d{c}"), F.col("set").alias(f"_{c}")), f"_d{c}")
     shared = F.size(F.array_intersect("_a", "_b"))
     union = F.size("_a") + F.size("_b") - F.col("_s")
     verified = both.withColumn("_s", shared).select("a", "b", (F.col("_s") / union).alias("similarity")).where(F.col("similarity") >= similarity)
     return members, verified.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
+def _by_class(members: DataFrame) -> DataFrame:
+    """Members with what links name classes by as ``_c``: the number, or the identifier where there is none."""
+    return members.withColumn("_c", F.col("class_no" if "class_no" in members.columns else "class_id"))
+
+
 def pairs(members: DataFrame, verified: DataFrame) -> DataFrame:
-    """Every pair of documents (id_1 < id_2): members of linked classes, and members of one class."""
-    m1, m2 = members.select(F.col("id").alias("x"), F.col("class_id").alias("a")), members.select(F.col("id").alias("y"), F.col("class_id").alias("b"))
-    across = verified.select("a", "b").join(m1, "a").join(m2, "b").select("x", "y")
+    """Every pair of documents (id_1 < id_2), once: members of linked classes, and members of one class."""
+    members = _by_class(members)
+    m1, m2 = members.select(F.col("id").alias("x"), F.col("_c").alias("a")), members.select(F.col("id").alias("y"), F.col("_c").alias("b"))
+    across = verified.select("a", "b").join(m1, "a").join(m2, "b").where("x <> y").select("x", "y")
     within = m1.join(m2, (F.col("a") == F.col("b")) & (F.col("x") < F.col("y"))).select("x", "y")
-    return across.unionByName(within).select(F.least("x", "y").alias("id_1"), F.greatest("x", "y").alias("id_2"))
+    return across.unionByName(within).select(F.least("x", "y").alias("id_1"), F.greatest("x", "y").alias("id_2")).distinct()
 
 
 def groups(members: DataFrame, verified: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -295,9 +307,14 @@ def groups(members: DataFrame, verified: DataFrame, max_rounds: int = 60) -> Dat
 
     ``group_id`` is the least class of the component, found by alternating large-star and small-star
     steps (logarithmically many rounds), each written to the shared folder. ``n_links`` counts the
-    linked documents of other texts.
+    linked documents of other texts. A document with several texts joins their classes, and its
+    ``class_id`` is the least of them.
     """
-    edges = verified.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    members = _by_class(members)
+    several = members.groupBy("id").agg(F.min("_c").alias("u"), F.min("class_id").alias("class_id"), F.count("*").alias("k")).where("k > 1").drop("k")
+    several = materialize(several, "groups-several")
+    texts = several.select("id", "u").join(members.select("id", F.col("_c").alias("v")), "id")
+    edges = verified.select(F.col("a").alias("u"), F.col("b").alias("v")).union(texts.where("u <> v").select("u", "v")).distinct()
     edges = materialize(edges, "groups-0")
     for round_no in range(1, max_rounds + 1):
         both = edges.union(edges.select(F.col("v"), F.col("u")))
@@ -312,10 +329,22 @@ def groups(members: DataFrame, verified: DataFrame, max_rounds: int = 60) -> Dat
         edges = new
     else:
         raise RuntimeError("groups did not settle")
-    root = edges.groupBy(F.col("u").alias("class_id")).agg(F.min("v").alias("group_id"))
-    sizes = members.groupBy("class_id").agg(F.count("*").alias("n"))
-    linked = verified.select(F.col("a").alias("class_id"), F.col("b").alias("o")).union(verified.select("b", "a"))
-    n_links = linked.join(sizes.withColumnRenamed("class_id", "o"), "o").groupBy("class_id").agg(F.sum("n").alias("n_links"))
-    return members.join(root, "class_id", "left").join(n_links, "class_id", "left").select(
-        "id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
+    root = edges.groupBy(F.col("u").alias("_c")).agg(F.min("v").alias("root"))
+    root = root.union(root.select("root", "root").distinct())
+    named = root.join(members.select("_c", "class_id"), "_c").groupBy("root").agg(F.min("class_id").alias("group_id"))
+    group_of = root.join(named, "root").select("_c", "group_id")
+
+    # Documents of one text are counted by class, those of several one by one: they may be met twice.
+    single = members.join(several, "id", "left_anti")
+    sizes = single.groupBy(F.col("_c").alias("o")).agg(F.count("*").alias("n"))
+    others = texts.select(F.col("v").alias("o"), F.col("id").alias("m"))
+    linked = verified.select(F.col("a").alias("_c"), F.col("b").alias("o")).union(verified.select("b", "a"))
+    owned = texts.select("id", F.col("v").alias("_c")).join(linked, "_c").select("id", "o").distinct()
+    met = linked.join(others, "o").select("_c", "m").distinct().groupBy("_c").agg(F.count("*").alias("n"))
+    of_class = linked.join(sizes, "o").select("_c", "n").union(met).groupBy("_c").agg(F.sum("n").alias("n_links"))
+    met = owned.join(others, "o").where("m <> id").select("id", "m").distinct().groupBy("id").agg(F.count("*").alias("n"))
+    of_id = owned.join(sizes, "o").select("id", "n").union(met).groupBy("id").agg(F.sum("n").alias("n_links"))
+
+    rows = single.join(of_class, "_c", "left").select("id", "class_id", "_c", "n_links")
+    rows = rows.union(several.join(of_id, "id", "left").select("id", "class_id", F.col("u"), "n_links"))
+    return rows.join(group_of, "_c", "left").select("id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -86,6 +86,19 @@ def test_links_edge_cases(spark):
     assert neardup.bands_for(0.8) < neardup.bands_for(0.6) and (1 - 0.6**neardup.ROWS) ** neardup.bands_for(0.6) < neardup.MISS
 
 
+def test_one_identifier_with_several_texts(spark):
+    """Each text keeps its class and its links; the representative of both classes is identifier 1."""
+    rng = random.Random(6)
+    a, b, c = ([rng.choice(WORDS) for _ in range(60)] for _ in range(3))
+    text = lambda w, *more: " ".join([*w, *more])
+    rows = [(1, text(a)), (2, text(a)), (2, text(b)), (1, text(b)), (3, text(b)), (4, text(b, "end")), (5, text(a, "end")), (6, text(c)), (4, text(b, "end"))]
+    members, verified = neardup.links(spark.createDataFrame(rows, "doc bigint, text string"), "doc", "text", 3, 0.6, 20)
+    found = [tuple(r) for r in neardup.pairs(members, verified).collect()]
+    assert len(found) == len(set(found)) and set(found) == jaccard_pairs(rows, 3, 0.6, 20) >= {(3, 4), (2, 3), (1, 5)}
+    out = sorted(tuple(r) for r in neardup.groups(members, verified).collect())
+    assert out == [(1, 1, 1, 2), (2, 1, 1, 2), (3, 1, 1, 1), (4, 4, 1, 3), (5, 5, 1, 2), (6, 6, 6, 0)]
+
+
 def test_splitting(spark):
     text = "para one.\n\n" * 30
     df = spark.createDataFrame([(1, text), (1, text), (2, "short"), (3, None), (4, ""), (5, "é" * 120)], "id int, text string").withColumns({"piece": F.lit(0), "_text": F.lit("x")})
