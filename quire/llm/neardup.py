@@ -5,10 +5,11 @@ The stages, none of which gathers the collection in one place:
 1. one pass over the texts makes, per document, a digest of its shingle set, the set's size, MinHash
    band keys and a vector of group counts (shingles hashed into ``GROUPS`` groups);
 2. documents with the same set collapse into one representative;
-3. representatives that share a band key meet in a bucket. In buckets of three or more the group
-   counts are indexed as points in an R-tree: the overlap of two sets is at most the sum of the
-   coordinate-wise minima, and with a node's maxima the same sum bounds all its points, so whole
-   subtrees and then pairs that cannot reach the threshold drop out;
+3. representatives that share a band key meet in a bucket. The overlap of two sets is at most the
+   sum of the coordinate-wise minima of their group counts, so in buckets of three or more, pairs
+   that cannot reach the threshold drop out; above ``CountTree.FANOUT`` members, and between
+   chunks, the counts are points in an R-tree, where the same sum with a node's maxima bounds all
+   its points and drops whole subtrees. A bucket of two gives its pair unchecked;
 4. the surviving pairs are verified on the complete shingle sets.
 
 A bucket of any size is dealt into chunks, and pairs of chunks are separate units of work.
