@@ -1,24 +1,25 @@
-"""Processing only new or changed records.
+"""Processing only new or changed records: the listing of inputs minus the manifest of those done.
 
-Two forms of one rule, "listing minus manifest":
+``pending`` is the one rule, an anti-join of a listing with a manifest. Two operators apply it:
 
-* ``ManifestStore`` is the running form: a manifest of the inputs of the last run with size and
-  checksum, an anti-join of the present listing against it, output written under the batch identifier
+* ``ManifestStore`` runs one batch after another: a manifest of the inputs of the last run with size
+  and checksum, the anti-join of the present listing with it, output written under the batch identifier
   (so that a repeated attempt replaces its own output), and the manifest committed last.
-* ``replay`` is the set-oriented form over a history of deliveries and load runs: what every run had
-  to process, for all runs at once. The manifest of run n is the state at its cutoff, so anti-joining
-  listing n against manifest n - 1 on (file, checksum) becomes a comparison with the file's previous
-  listing, both being partitioned by file already.
+* ``replay`` does the same for a whole history of deliveries and load runs at once. Listings and
+  manifests are written as differences: a file has a row in the batches that saw it delivered, and stays
+  in the manifest from the batch that committed it until the next such row. The listing of every batch
+  is then anti-joined with the manifest its predecessor left.
 """
 
 from __future__ import annotations
 
-import hashlib
-import os
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.runtime import materialize
+
 
 def posix_location(path: Column) -> Column:
     """A path resolved as POSIX does it, without looking at a file system.
@@ -47,86 +48,95 @@ def pending(listing: DataFrame, manifest: DataFrame, keys: list[str]) -> DataFra
     With keys (path, size, checksum) these are the new and the changed inputs. An empty manifest
     leaves the listing as it is; an empty listing gives no rows.
     """
-    # Null-safe without <=>: a null flag beside each key keeps this an equi-join Spark can hash or sort.
+    # Spark hashes and sorts null-safe equality like any other, so this stays an equi-join.
     known = manifest.select(*[F.col(k).alias(f"_m{i}") for i, k in enumerate(keys)]).distinct()
     on = [listing[k].eqNullSafe(known[f"_m{i}"]) for i, k in enumerate(keys)]
     return listing.join(known, on, "left_anti")
 
 
-def first_run_at_or_after(feed: DataFrame, runs: DataFrame, key: str, at: str, cutoff: str, run: str, slices: int = 32) -> DataFrame:
+def first_run_at_or_after(feed: DataFrame, runs: DataFrame, key: str, at: str, cutoff: str, run: str, fan_out: int = 32) -> DataFrame:
     """As-of join forward: each feed row with the key's first run whose cutoff is not before it.
 
-    Adds ``_run`` = struct(cutoff, run), null where no run follows. A key may hold a third of all
-    rows, so rows are sorted per key and time slice, never per key: slice borders are at most
-    ``slices`` quantiles of the feed's times, and for every slice a marker row carries the first run
-    of the later slices. Nothing but the borders reaches the driver. Runs with equal cutoffs: the
-    smaller identifier comes first.
+    Adds ``_run`` = struct(cutoff, run), null where no run follows. The runs of a key form a B-tree:
+    blocks of ``fan_out`` runs in order of cutoff, blocks of blocks above them, one at the top. A feed
+    row descends it by one equi-join per level, so the feed is neither sorted nor gathered by key; Spark
+    broadcasts a level if it is small enough and splits skewed keys if it is not. Only the number of
+    levels reaches the driver. Runs with equal cutoffs: the smaller identifier comes first.
     """
-    borders = feed.select(F.unix_micros(F.col(at).cast("timestamp")).cast("double").alias("t")).approxQuantile("t", [i / slices for i in range(1, slices)], 0.005)
-    borders = sorted(set(int(x) for x in borders))
-    cut = F.array(*[F.lit(x) for x in borders]) if borders else F.array().cast("array<bigint>")
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    slice_of = lambda t: F.size(F.filter(cut, lambda x: x < t))
-
     r = runs.select(F.col(key).alias("_k"), micros(cutoff).alias("_t"), F.struct(F.col(cutoff).alias("cutoff"), F.col(run).alias("run")).alias("_run"))
-    r = r.where(F.col("_t").isNotNull()).withColumn("_s", slice_of(F.col("_t")))
-    firsts = r.groupBy("_k", "_s").agg(F.min("_run").alias("f"))
-    markers = (
-        firsts.groupBy("_k")
-        .agg(F.collect_list(F.struct("_s", "f")).alias("fs"))  # at most `slices` items a key
-        .select("_k", "fs", F.explode(F.sequence(F.lit(0), F.lit(len(borders)))).alias("_s"))
-        .select("_k", "_s", F.array_min(F.transform(F.filter("fs", lambda x: x["_s"] > F.col("_s")), lambda x: x["f"])).alias("_run"))
-        .where(F.col("_run").isNotNull())
-    )
-    rows = feed.select(F.col(key).alias("_k"), micros(at).alias("_t"), F.struct("*").alias("_row")).withColumn("_s", slice_of(F.col("_t")))
-    events = rows.withColumn("_o", F.lit(0)).unionByName(r.withColumn("_o", F.lit(1)), allowMissingColumns=True).unionByName(markers.withColumn("_t", F.lit(2**62)).withColumn("_o", F.lit(2)), allowMissingColumns=True)
-    w = Window.partitionBy("_k", "_s").orderBy(F.desc("_t"), F.desc("_o"), F.desc("_run.run")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return events.withColumn("_run", F.last("_run", ignorenulls=True).over(w)).where("_o = 0").select("_row.*", "_run")
-
-
-def replay(feed: DataFrame, runs: DataFrame) -> DataFrame:
-    """(run_id, feed_id): for each succeeded run, every file that is new or changed since the last.
-
-    ``feed`` has library_id, path?, content_hash?, modified_at?, arrived_at, feed_id; ``runs`` has
-    run_id, library_id, cutoff_at, status. Extra columns are ignored. Rows without a checksum were
-    not read and do not count. Failed, cancelled and running runs commit nothing, so what they saw
-    stays pending for the next succeeded run. Empty inputs give an empty result.
+    r = r.where(F.col("_t").isNotNull() & F.col("_k").isNotNull()).withColumn("_h", F.floor(F.col("_t") / 3_600_000_000))
+    # Numbered within the hour, after the runs of earlier hours: no key is sorted in one task.
+    hours = r.groupBy("_k", "_h").agg(F.count("*").alias("_in"))
+    earlier = Window.partitionBy("_k").orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select("_k", "_h", F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_first"))
+    place = F.col("_first") + F.row_number().over(Window.partitionBy("_k", "_h").orderBy("_t", "_run")) - 1
+    r = materialize(r.join(hours, ["_k", "_h"]).select("_k", place.alias("_n"), "_t", "_run"), "asof")
+    most = r.agg(F.max("_n")).first()[0] or 0
+
+    block = F.floor(F.col("_n") / fan_out)
+    levels = [r.groupBy("_k", block.alias("_b")).agg(F.array_sort(F.collect_list(F.struct("_n", "_t", "_run"))).alias("_items"))]
+    while most >= fan_out:
+        most //= fan_out
+        below = levels[-1].select("_k", F.col("_b").alias("_n"), F.element_at("_items", -1)["_t"].alias("_t"))
+        levels.append(below.groupBy("_k", block.alias("_b")).agg(F.array_sort(F.collect_list(F.struct("_n", "_t"))).alias("_items")))
+
+    rows = feed.select(F.col(key).alias("_k"), micros(at).alias("_t"), F.lit(0).cast("bigint").alias("_b"), F.struct("*").alias("_row"))
+    hit = F.get("_items", F.size(F.filter("_items", lambda x: x["_t"] < F.col("_t"))))
+    for depth in range(len(levels) - 1, -1, -1):
+        level = levels[depth].select(F.col("_k").alias("_lk"), F.col("_b").alias("_lb"), "_items")
+        rows = rows.join(level, (F.col("_k") == F.col("_lk")) & (F.col("_b") == F.col("_lb")), "left")
+        rows = rows.select("_k", "_t", "_row", hit["_n"].alias("_b")) if depth else rows.select("_row.*", hit["_run"].alias("_run"))
+    return rows
+
+
+def listings(feed: DataFrame, runs: DataFrame) -> DataFrame:
+    """What each succeeded run lists of the files delivered since the one before, as differences.
+
+    (library_id, file, batch, feed_id, size, checksum, superseded): ``batch`` is the run, ``superseded``
+    the run that lists the file next, null if none does. In between, the row is in every manifest.
     """
     ok = runs.where("status = 'succeeded'").select("run_id", "library_id", "cutoff_at")
+    size = F.col("n_bytes") if "n_bytes" in feed.columns else F.lit(None).cast("bigint")
     seen = feed.where(F.col("content_hash").isNotNull() & F.col("arrived_at").isNotNull()).select(
-        "library_id", "arrived_at", "feed_id", "content_hash",
+        "library_id", "arrived_at", "feed_id", "content_hash", size.alias("size"),
         F.coalesce(F.concat(F.lit("p"), posix_location(F.col("path"))), F.concat(F.lit("h"), F.col("content_hash").cast("string"))).alias("file"),
         F.coalesce("modified_at", "arrived_at").alias("changed"),
     )
-    listed = (
+    delivered = (
         first_run_at_or_after(seen, ok, "library_id", "arrived_at", "cutoff_at", "run_id")
         .where("_run is not null")
         .groupBy("library_id", "file", "_run")  # combined before the shuffle: a hot file costs a row a run
-        .agg(F.max(F.struct("changed", "feed_id", "content_hash")).alias("newest"))
+        .agg(F.max(F.struct("changed", "feed_id", "content_hash", "size")).alias("newest"))
     )
     by_file = Window.partitionBy("library_id", "file").orderBy("_run")
-    current = listed.withColumn("current", F.max("newest").over(by_file.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    manifest = F.lag("current.content_hash").over(by_file)
-    return (
-        current.withColumn("known", manifest)
-        .where(~F.col("known").eqNullSafe(F.col("current.content_hash")))
-        .select(F.col("_run.run").alias("run_id"), F.col("current.feed_id").alias("feed_id"))
-    )
+    current = F.max("newest").over(by_file.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = delivered.select("library_id", "file", F.col("_run.run").alias("batch"), current.alias("c"), F.lead("_run.run").over(by_file).alias("superseded"))
+    return rows.select("library_id", "file", "batch", F.col("c.feed_id").alias("feed_id"), F.col("c.size").alias("size"), F.col("c.content_hash").alias("checksum"), "superseded")
+
+
+def replay(feed: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run_id, feed_id): for each succeeded run, every file that is new or changed since the last.
+
+    ``feed`` has library_id, path?, content_hash?, modified_at?, arrived_at, feed_id, n_bytes?; ``runs``
+    has run_id, library_id, cutoff_at, status. Extra columns are ignored. Rows without a checksum were
+    not read and do not count. Failed, cancelled and running runs commit nothing, so what they saw
+    stays pending for the next succeeded run. Empty inputs give an empty result.
+
+    A file is changed if its checksum is another; the manifest holds its size as well, which tells
+    nothing more where the checksum is of the whole content.
+    """
+    listed = materialize(listings(feed, runs), "listing")
+    manifest = listed.where("superseded is not null").select("library_id", "file", F.col("superseded").alias("batch"), "size", "checksum")
+    return pending(listed, manifest, ["library_id", "file", "batch", "checksum"]).select(F.col("batch").alias("run_id"), "feed_id")
+
 
+def list_files(spark: SparkSession, root: str, suffix: str = "") -> DataFrame:
+    """(path, size, checksum) of the files under a folder, read and hashed by the executors."""
+    from quire.sources.markdown_files import markdown_files
 
-def list_files(root: str, suffix: str = "") -> list[tuple[str, int, str]]:
-    """(path, size, checksum) of the files under a local folder, sorted; for small trees and tests."""
-    found = []
-    for folder, _, names in os.walk(root):
-        for name in names:
-            if name.endswith(suffix):
-                path = os.path.join(folder, name)
-                digest = hashlib.blake2b(digest_size=16)
-                with open(path, "rb") as f:
-                    for block in iter(lambda: f.read(1 << 20), b""):
-                        digest.update(block)
-                found.append((path, os.path.getsize(path), digest.hexdigest()))
-    return sorted(found)
+    files = markdown_files(spark, root, suffix, keep_errors=True, maxbytes=2**31 - 1)
+    return files.select("path", "size", F.sha2("content", 256).alias("checksum"))
 
 
 class ManifestStore:
@@ -176,7 +186,7 @@ class ManifestStore:
         paths = [f"{self.root}/data/batch_id={b}" for _, b, _ in self._committed()]
         return self.spark.read.option("basePath", f"{self.root}/data").parquet(*paths) if paths else None
 
-    def run(self, listing: DataFrame, batch_id: str, process) -> DataFrame:
+    def run(self, listing: DataFrame, batch_id: str, process: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """Process what is new in ``listing`` with ``process(pending) -> DataFrame``; returns the new inputs.
 
         ``listing`` is everything there is now; a file it lacks counts as gone. A batch identifier

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quire.operators import drift, incremental, shred
-from quire.runtime import materialize, table
+from quire.runtime import materialize, shared_dir, table
 
 
 def p1_found(spark, sf_dir):
@@ -19,6 +21,21 @@ def p1_run_sizes(spark, sf_dir):
     return runs.select("run_id", "library_id").join(work, "run_id", "left").select("run_id", "library_id", F.coalesce("n_files", F.lit(0)).alias("n_files"), F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"))
 
 
+def p1_manifest(spark, sf_dir):
+    """What three batches over the whole feed process, each at a further third of its time, run one after
+    another through the manifest store."""
+    feed = table(spark, sf_dir, "entry_feed").where("content_hash is not null")
+    file = F.coalesce(F.concat(F.lit("p"), incremental.posix_location(F.col("path"))), F.concat(F.lit("h"), F.col("content_hash").cast("string")))
+    rows = feed.select(F.concat_ws("/", F.col("library_id").cast("string"), file).alias("path"), "arrived_at", F.struct(F.coalesce("modified_at", "arrived_at"), "feed_id", F.col("n_bytes").alias("size"), F.col("content_hash").cast("string").alias("checksum")).alias("v"))
+    low, high = feed.agg(F.unix_micros(F.min("arrived_at").cast("timestamp")), F.unix_micros(F.max("arrived_at").cast("timestamp"))).first()
+    store = incremental.ManifestStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    for batch in (1, 2, 3):
+        until = low + (high - low) * batch // 3 if low is not None else 0
+        listing = rows.where(F.unix_micros(F.col("arrived_at").cast("timestamp")) <= until).groupBy("path").agg(F.max("v").alias("v")).select("path", "v.size", "v.checksum")
+        store.run(listing, str(batch), lambda new: new)
+    return store.data().select(F.col("batch_id").cast("int").alias("batch_id"), "path", "size", "checksum")
+
+
 def p2_found(spark, sf_dir):
     return shred.objects(table(spark, sf_dir, "frontmatters"), "fm_id", "root")
 
@@ -53,7 +70,7 @@ def p3_unified(spark, sf_dir):
     return drift.unify(table(spark, sf_dir, "frontmatters"), ["library_id", "export_no", "fm_id"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_run_sizes, p2_found, p2_revisions, p2_entities, p3_found, p3_schema, p3_unified)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_run_sizes, p1_manifest, p2_found, p2_revisions, p2_entities, p3_found, p3_schema, p3_unified)}
 
 _P1_FILE = """
   SELECT library_id, feed_id, content_hash, arrived_at, coalesce(modified_at, arrived_at) AS changed,
@@ -91,6 +108,12 @@ ORACLE = {
     "p1_run_sizes": _P1
     + """SELECT q.run_id, q.library_id, count(f.feed_id) AS n_files, coalesce(sum(e.n_bytes), 0)::BIGINT AS n_bytes
   FROM runs q LEFT JOIN found f USING (run_id) LEFT JOIN entry_feed e USING (feed_id) GROUP BY ALL""",
+    "p1_manifest": f"""
+WITH rows AS ({_P1_FILE.replace("SELECT library_id", "SELECT n_bytes, library_id")}),
+ends AS (SELECT b AS batch_id, make_timestamp(epoch_us(min(arrived_at)) + (epoch_us(max(arrived_at)) - epoch_us(min(arrived_at))) * b // 3) AS until FROM rows, range(1, 4) t(b) GROUP BY b),
+state AS (SELECT batch_id::INT AS batch_id, library_id || '/' || file AS path, arg_max(n_bytes, (changed, feed_id)) AS size, arg_max(content_hash, (changed, feed_id))::VARCHAR AS checksum
+          FROM rows JOIN ends ON arrived_at <= until GROUP BY ALL)
+SELECT * FROM state s WHERE NOT EXISTS (SELECT 1 FROM state b WHERE b.batch_id = s.batch_id - 1 AND b.path = s.path AND b.size = s.size AND b.checksum = s.checksum)""",
     "p2_found": _NODES + "SELECT fm_id, path AS node_path, parent_path FROM nodes WHERE kind = 'OBJECT' AND path <> '$'",
     "p2_entities": _NODES
     + """SELECT o.entity, count(*) AS n_rows, count(o.parent_path) AS n_linked, coalesce(sum(c.n), 0)::BIGINT AS n_scalars

@@ -43,7 +43,9 @@ def shared_dir(spark: SparkSession) -> str:
         return current.rstrip("/")
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="quire-"))
+    folder = tempfile.mkdtemp(prefix="quire-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.setCheckpointDir(folder)
     return sc.getCheckpointDir().rstrip("/")
 
 

@@ -1,5 +1,6 @@
 """Incremental loads, shredding and schema drift: rules, edge cases, brute force."""
 
+import hashlib
 import json
 import posixpath
 import random
@@ -53,6 +54,19 @@ def test_replay_against_brute_force(spark):
     assert {tuple(r) for r in incremental.replay(extra, frames[1].withColumn("_t", F.lit(1))).collect()} == set(found)
 
 
+def test_as_of_join_of_many_runs(spark):
+    """Four levels of blocks, one key with most rows, equal cutoffs, times between and beyond all runs."""
+    rng = random.Random(6)
+    runs = [(i, 1 if i % 4 else 2, T0 + timedelta(minutes=rng.randrange(3000)), "succeeded") for i in range(300)] + [(999, 1, None, "succeeded"), (998, None, T0, "succeeded")]
+    feed = [(i, rng.choice([1, 1, 1, 2, 3, None]), T0 + timedelta(minutes=rng.randrange(-50, 3050))) for i in range(500)] + [(500, 1, None)]
+    df = spark.createDataFrame(feed, "feed_id bigint, library_id bigint, arrived_at timestamp")
+    found = incremental.first_run_at_or_after(df, spark.createDataFrame(runs, RUNS), "library_id", "arrived_at", "cutoff_at", "run_id", fan_out=4).collect()
+    assert len(found) == len(feed)
+    for r in found:
+        later = [(c, i) for i, k, c, _ in runs if k is not None and k == r["library_id"] and c is not None and r["arrived_at"] is not None and c >= r["arrived_at"]]
+        assert (tuple(r["_run"]) if r["_run"] else None) == min(later, default=None)
+
+
 def test_replay_of_nothing(spark):
     feed, runs = spark.createDataFrame([], FEED), spark.createDataFrame([], RUNS)
     some = spark.createDataFrame([(1, 1, "a", 1, 1, None, T0, None)], FEED)
@@ -92,7 +106,8 @@ def test_manifest_survives_failures(spark, tmp_path):
     assert sorted(r["path"] for r in store.data().collect()) == ["a", "b", "b", "c"]
     assert store.run(second, "3", lambda df: df).count() == 0
     (tmp_path / "f.md").write_text("hello")
-    assert [x[1] for x in incremental.list_files(str(tmp_path), ".md")] == [5]
+    found = incremental.list_files(spark, str(tmp_path), ".md").collect()
+    assert [(r["size"], r["checksum"]) for r in found] == [(5, hashlib.sha256(b"hello").hexdigest())]
 
 
 def test_manifest_sees_earlier_content_again(spark, tmp_path):
