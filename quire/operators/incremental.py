@@ -57,7 +57,7 @@ def pending(listing: DataFrame, manifest: DataFrame, keys: list[str]) -> DataFra
 def first_run_at_or_after(feed: DataFrame, runs: DataFrame, key: str, at: str, cutoff: str, run: str, fan_out: int = 32) -> DataFrame:
     """As-of join forward: each feed row with the key's first run whose cutoff is not before it.
 
-    Adds ``_run`` = struct(cutoff, run), null where no run follows. The runs of a key form a B-tree:
+    Adds ``_run`` = struct(cutoff, run), null where no run follows or the row has no time. The runs of a key form a B-tree:
     blocks of ``fan_out`` runs in order of cutoff, blocks of blocks above them, one at the top. A feed
     row descends it by one equi-join per level, so the feed is neither sorted nor gathered by key; Spark
     broadcasts a level if it is small enough and splits skewed keys if it is not. Only the number of
@@ -82,7 +82,7 @@ def first_run_at_or_after(feed: DataFrame, runs: DataFrame, key: str, at: str, c
         levels.append(below.groupBy("_k", block.alias("_b")).agg(F.array_sort(F.collect_list(F.struct("_n", "_t"))).alias("_items")))
 
     rows = feed.select(F.col(key).alias("_k"), micros(at).alias("_t"), F.lit(0).cast("bigint").alias("_b"), F.struct("*").alias("_row"))
-    hit = F.get("_items", F.size(F.filter("_items", lambda x: x["_t"] < F.col("_t"))))
+    hit = F.when(F.col("_t").isNotNull(), F.get("_items", F.size(F.filter("_items", lambda x: x["_t"] < F.col("_t")))))
     for depth in range(len(levels) - 1, -1, -1):
         level = levels[depth].select(F.col("_k").alias("_lk"), F.col("_b").alias("_lb"), "_items")
         rows = rows.join(level, (F.col("_k") == F.col("_lk")) & (F.col("_b") == F.col("_lb")), "left")
