@@ -49,13 +49,17 @@ def p2_revisions(spark, sf_dir):
 def p2_entities(spark, sf_dir):
     """Rows, parents and scalar children per entity table."""
     nodes = materialize(shred.shred(table(spark, sf_dir, "frontmatters"), "fm_id", "root"), "shred")
-    objects = nodes.where("kind = 'object'").select("fm_id", "node", "entity", "owner_path")
-    children = nodes.where("kind not in ('object', 'list') and label is not null").groupBy("fm_id", F.col("owner").alias("node")).agg(F.count("*").alias("n"))
-    return objects.join(children, ["fm_id", "node"], "left").groupBy("entity").agg(
-        F.count("*").alias("n_rows"), F.count_if(F.col("owner_path").isNotNull()).alias("n_linked"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_scalars")
+    return shred.entities(nodes, "fm_id").groupBy("entity").agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col("parent_path").isNotNull()).alias("n_linked"), F.sum(F.coalesce(F.size("scalars"), F.lit(0)).cast("bigint")).alias("n_scalars")
     )
 
 
+def p2_scalars(spark, sf_dir):
+    """Every scalar of every entity table, with its row and label."""
+    nodes = materialize(shred.shred(table(spark, sf_dir, "frontmatters"), "fm_id", "root"), "shred")
+    return shred.entities(nodes, "fm_id").select("fm_id", "node_path", "parent_path", F.explode("scalars").alias("label", "scalar"))
+
+
 def p3_found(spark, sf_dir):
     return drift.changes(table(spark, sf_dir, "frontmatters"))
 
@@ -70,7 +74,7 @@ def p3_unified(spark, sf_dir):
     return drift.unify(table(spark, sf_dir, "frontmatters"), ["library_id", "export_no", "fm_id"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_run_sizes, p1_manifest, p2_found, p2_revisions, p2_entities, p3_found, p3_schema, p3_unified)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_run_sizes, p1_manifest, p2_found, p2_revisions, p2_entities, p2_scalars, p3_found, p3_schema, p3_unified)}
 
 _P1_FILE = """
   SELECT library_id, feed_id, content_hash, arrived_at, coalesce(modified_at, arrived_at) AS changed,
@@ -119,6 +123,9 @@ SELECT * FROM state s WHERE NOT EXISTS (SELECT 1 FROM state b WHERE b.batch_id =
     + """SELECT o.entity, count(*) AS n_rows, count(o.parent_path) AS n_linked, coalesce(sum(c.n), 0)::BIGINT AS n_scalars
   FROM nodes o LEFT JOIN (SELECT fm_id, parent_path AS path, count(*) AS n FROM nodes WHERE kind NOT IN ('OBJECT', 'ARRAY') AND label IS NOT NULL GROUP BY ALL) c USING (fm_id, path)
   WHERE o.kind = 'OBJECT' GROUP BY o.entity""",
+    "p2_scalars": _NODES
+    + """SELECT o.fm_id, o.path AS node_path, o.parent_path, c.label, CASE WHEN c.kind = 'VARCHAR' THEN json_extract_string(c.value, '$') WHEN c.kind <> 'NULL' THEN c.value::VARCHAR END AS scalar
+  FROM nodes o JOIN nodes c ON c.fm_id = o.fm_id AND c.parent_path = o.path WHERE o.kind = 'OBJECT' AND c.kind NOT IN ('OBJECT', 'ARRAY') AND c.label IS NOT NULL""",
     "p2_revisions": _NODES
     + """SELECT o.fm_id, o.path AS node_path, o.parent_path, regexp_extract(o.path, '\\[(\\d+)\\]$', 1)::INT AS ordinal,
   json_extract_string(o.value, '$.date') AS "date", json_extract_string(o.value, '$.note') AS note, json_extract_string(o.value, '$.version') AS version

@@ -152,6 +152,14 @@ def test_objects(spark):
     assert shred.objects(df.where("false"), "id", "root").count() == 0
 
 
+def test_rows_of_one_identifier_stay_apart(spark):
+    df = spark.createDataFrame([(1, '{"a": {"x": 1}}'), (1, '{"a": {"x": 2}}'), (None, '{"a": {"y": null}, "n": 5}')], "id int, root string").withColumn("record", F.lit(7))
+    nodes = shred.shred(df, "id", "root")
+    found = sorted((r["id"] or 0, r["node_path"], sorted(r["scalars"].items()) if r["scalars"] else None) for r in shred.entities(nodes, "id").collect())
+    assert found == [(0, "$", [("n", "5")]), (0, "$.a", [("y", None)]), (1, "$", None), (1, "$", None), (1, "$.a", [("x", "1")]), (1, "$.a", [("x", "2")])]
+    assert sorted((r["id"], r["x"]) for r in shred.entity_table(nodes, "id", "$.a", ["x"]).collect() if r["id"]) == [(1, "1"), (1, "2")]
+
+
 def test_entity_table(spark):
     df = spark.createDataFrame([(1, '{"r": [{"a": 1, "ID": "x", "n": {"q": 2}}, {"a": null}, 5, {}]}')], "id int, root string")
     nodes = shred.shred(df, "id", "root")
