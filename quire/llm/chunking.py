@@ -71,16 +71,6 @@ def blocks_of(text: str) -> list[tuple[int, int, bool, list[tuple[int, int]]]]:
     return out
 
 
-def level(text: str, limit: int) -> str:
-    """The coarsest boundary at which every unit of the text keeps to the limit."""
-    large = [b for b in blocks_of(text) if b[1] > limit]
-    if not large:
-        return "block"
-    if all(e - s <= limit or (not fenced and all(len(x) <= limit for x in _SENTENCE.split(text[s:e]))) for _, _, fenced, lines in large for s, e in lines):
-        return "line"
-    return "word" if all(m.end() - m.start() <= limit for m in _RUN.finditer(text)) else "char"
-
-
 def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Sorted cut positions and their strengths; a cut at p separates text[:p] from text[p:]."""
     strength: dict[int, int] = {}
@@ -124,19 +114,68 @@ class RangeMaximum:
         return int(self.at[place]), strength
 
 
-def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
+def unit_ends(text: str) -> tuple[RangeMaximum, list[tuple[int, list[tuple[int, list[int]]]]]]:
+    """An index of where the units of a text end, and where they start, line ends being one character.
+
+    The index holds the end of every block, line, sentence and run without blanks under its strength. The
+    starts are nested: of each block, with its lines, with their sentences (a fenced line has none).
+    """
+    text = _LINE.sub("\n", text)
+    strength = {m.end(): WORD for m in _RUN.finditer(text)}
+    starts = []
+    for start, _, fenced, lines in blocks_of(text):
+        of_lines = []
+        for s, e in lines:
+            sentences = [s]
+            for m in () if fenced else _SENTENCE.finditer(text, s, e):
+                strength[m.start()] = SENTENCE
+                sentences.append(m.end())
+            strength[e] = LINE
+            of_lines.append((s, sentences))
+        strength[lines[-1][1]] = BLOCK
+        starts.append((start, of_lines))
+    at = np.fromiter(strength.keys(), np.int64, len(strength))
+    by = np.fromiter(strength.values(), np.int64, len(strength))
+    order = np.argsort(at)
+    return RangeMaximum(at[order], by[order]), starts
+
+
+def level(text: str, limit: int) -> str:
+    """The coarsest boundary at which every unit of the text keeps to the limit.
+
+    A unit fits if the strongest end within ``limit`` characters of its start is at least of its kind:
+    the next end of that kind is its own. Only the lines of blocks that do not fit are looked at, and
+    only the sentences of lines that do not.
+    """
+    index, starts = unit_ends(text)
+
+    def fits(start: int, kind: int) -> bool:
+        found = index.best(start, start + limit)  # from the start on, as an empty line in a fence ends there
+        return found is not None and found[1] >= kind
+
+    large = [lines for start, lines in starts if not fits(start, BLOCK)]
+    if not large:
+        return "block"
+    if all(fits(s, LINE) or (len(inside) > 1 and all(fits(x, SENTENCE) for x in inside)) for lines in large for s, inside in lines):
+        return "line"
+    return "word" if all(fits(m.start(), WORD) for m in _RUN.finditer(_LINE.sub("\n", text))) else "char"
+
+
+def pieces(text: str, limit: int, overlap: int, least: int = 0) -> list[tuple[int, int, int]]:
     """(start, end, strength of the cut at the end) of consecutive pieces; -1 marks the text's end.
 
-    Every piece has at most ``limit`` characters, consecutive pieces share exactly ``overlap``. A
-    forced cut does not part a CR from its LF if the window allows it.
+    Every piece has at most ``limit`` characters, consecutive pieces share exactly ``overlap``. The
+    window of a cut begins ``least`` characters into the piece, or, if no boundary is there, right after
+    the overlap, so a strong boundary near the start does not make a piece that is hardly more than
+    overlap. A forced cut does not part a CR from its LF if the window allows it.
     """
-    if not 0 <= overlap < limit:
-        raise ValueError("overlap must be at least 0 and below the limit")
+    if not 0 <= overlap < limit or not 0 <= least <= limit:
+        raise ValueError("overlap must be at least 0 and below the limit, and a piece's least length within it")
     if len(text) <= limit:
         return [(0, len(text), -1)]
     index, out, start = RangeMaximum(*boundaries(text)), [], 0
     while len(text) - start > limit:
-        found = index.best(start + overlap + 1, start + limit)
+        found = least > overlap + 1 and index.best(start + least, start + limit) or index.best(start + overlap + 1, start + limit)
         cut, strength = found or (start + limit, CHAR)
         if not found and text[cut - 1 : cut + 1] == "\r\n" and cut - 1 > start + overlap:
             cut -= 1
@@ -146,19 +185,22 @@ def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def split_oversized(df: DataFrame, id_col: str, text_col: str, limit: int = 4000, overlap: int = 200, keep_small: bool = False) -> DataFrame:
+def split_oversized(df: DataFrame, id_col: str, text_col: str, limit: int = 4000, overlap: int = 200, keep_small: bool = False, least: int | None = None) -> DataFrame:
     """(id, item_level, piece_no, start, end, cut, piece) of every item above ``limit`` characters.
 
     ``item_level`` is the coarsest boundary level that suffices for the whole item, ``cut`` the kind
-    of boundary at the piece's end. Items within the limit are left out unless ``keep_small``; null
+    of boundary at the piece's end. ``least`` is the length a cut seeks to leave in a piece, a quarter of
+    the limit by default. Items within the limit are left out unless ``keep_small``; null
     texts are left out always, the empty text is one empty piece. Equal rows give equal pieces. The
     length test runs in the JVM, so only oversized texts reach Python.
     """
 
+    least = limit // 4 if least is None else least
+
     @F.pandas_udf("struct<item_level: string, pieces: array<struct<start: int, end: int, cut: string>>>")
     def cut(texts: pd.Series) -> pd.DataFrame:
         rows = [
-            (level(t, limit) if len(t) > limit else "block", [{"start": s, "end": e, "cut": NAMES[c]} for s, e, c in pieces(t, limit, overlap)])
+            (level(t, limit) if len(t) > limit else "block", [{"start": s, "end": e, "cut": NAMES[c]} for s, e, c in pieces(t, limit, overlap, least)])
             for t in texts
         ]
         return pd.DataFrame(rows, columns=["item_level", "pieces"])

@@ -30,8 +30,9 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     by_source = sizes.groupBy("source_key").agg(F.sum("n").alias("size"))  # combined before the shuffle
     wanted = targets.select("source", "target_share", "max_repeats", source_key(F.col("source")).alias("source_key"))
     rows = wanted.join(by_source, "source_key", "left").withColumn("size", F.coalesce("size", F.lit(0)))
-    everything = rows.select("source_key", "size").distinct().agg(F.sum("size").alias("total"))
-    rows = rows.withColumn("_one", F.lit(1)).join(everything.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    # A handful of rows: one window over all of them, a source that is named twice counted once.
+    once = F.row_number().over(Window.partitionBy("source_key").orderBy("source")) == 1
+    rows = rows.withColumn("_once", F.when(once, F.col("size"))).withColumn("total", F.sum("_once").over(Window.partitionBy(F.lit(0)))).drop("_once")
     rows = rows.withColumn("total", F.coalesce("total", F.lit(0))).withColumn("budget", F.col("target_share") * F.col("total"))
     most = F.col("size") * F.coalesce("max_repeats", F.lit(1))
     rows = rows.withColumn("short", most < F.col("budget")).withColumn("drawn_budget", F.least("budget", most.cast("double")))
@@ -39,9 +40,10 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.withColumn("epochs", epochs.cast("bigint")).withColumn("rest", F.col("drawn_budget") - F.col("epochs") * F.col("size"))
 
 
-def quality_of(score: Column) -> Column:
-    """An alignment score as a weight: 0-100 scores brought to 0-1, unknown ones 0.5, none below 0.01."""
-    unit = F.when(score > 1, score / 100).otherwise(score)
+def quality_of(score: Column, hundred: Column | None = None) -> Column:
+    """A score as a weight between 0.01 and 1, unknown ones 0.5. ``hundred`` says that the score's source
+    counts to 100; without it only scores above 1 are taken so."""
+    unit = F.when(score > 1 if hundred is None else F.coalesce(hundred, F.lit(False)), score / 100).otherwise(score)
     return F.greatest(F.lit(0.01), F.least(F.lit(1.0), F.coalesce(F.nanvl(unit, F.lit(0.5)), F.lit(0.5))))
 
 
@@ -71,8 +73,14 @@ def draw(docs: DataFrame, planned: DataFrame, id_col: str = "doc_id", seed: int
 
 
 def sized(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
-    """(doc_id, source_key, n, quality) with sizes in tokens; null texts have size 0."""
-    return docs.select("doc_id", source_key(F.col("source")).alias("source_key"), n_tokens(F.col("text"), tokenizer).cast("bigint").alias("n"), quality_of(F.col("align_score")).alias("quality"))
+    """(doc_id, source_key, n, quality) with sizes in tokens; null texts have size 0.
+
+    A source whose greatest score is above 1 counts its scores to 100, the low ones too.
+    """
+    docs = docs.select("doc_id", source_key(F.col("source")).alias("source_key"), "text", "align_score")
+    scales = docs.where(~F.isnan("align_score")).groupBy("source_key").agg((F.max("align_score") > 1).alias("_hundred"))
+    docs = docs.join(scales.withColumnRenamed("source_key", "_s"), F.col("source_key").eqNullSafe(F.col("_s")), "left")
+    return docs.select("doc_id", "source_key", n_tokens(F.col("text"), tokenizer).cast("bigint").alias("n"), quality_of(F.col("align_score"), F.col("_hundred")).alias("quality"))
 
 
 def of_targets(docs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -89,12 +97,16 @@ def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = DEFAULT_TOKENIZER,
 
 
 def shares(planned: DataFrame, drawn: DataFrame) -> DataFrame:
-    """Target and reached share of each source, of the intended total and of what was drawn."""
+    """Target and reached share of each source, of the intended total and of what was drawn.
+
+    ``short`` is judged by what was drawn: a source gave every document ``max_repeats`` times and still
+    stayed below its budget.
+    """
     got = drawn.groupBy("source").agg(F.sum(F.col("n") * F.col("repeats")).alias("drawn"), F.max("repeats").alias("most_repeats"))
-    rows = planned.select("source", "target_share", "max_repeats", "size", "total", "short").join(got, "source", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
-    everything = rows.agg(F.sum("drawn").alias("_all"))
-    rows = rows.withColumn("_one", F.lit(1)).join(everything.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    rows = planned.select("source", "target_share", "max_repeats", "size", "total", "budget").join(got, "source", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    rows = rows.withColumn("_all", F.sum("drawn").over(Window.partitionBy(F.lit(0))))  # a handful of rows
+    spent = F.col("drawn") == F.col("size") * F.coalesce("max_repeats", F.lit(1))
     return rows.select(
-        "source", "target_share", "max_repeats", "size", "short", "drawn", F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"),
+        "source", "target_share", "max_repeats", "size", (spent & (F.col("drawn") < F.col("budget"))).alias("short"), "drawn", F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"),
         F.try_divide(F.col("drawn"), F.col("total")).alias("share_of_total"), F.try_divide(F.col("drawn"), F.col("_all")).alias("share_of_drawn"),
     )

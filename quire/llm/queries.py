@@ -64,9 +64,7 @@ def p7_fill(spark, sf_dir):
 
 
 def p8_found(spark, sf_dir):
-    targets = table(spark, sf_dir, "mix_targets")
-    rows = mixing.sized(mixing.of_targets(table(spark, sf_dir, "documents"), targets))
-    return mixing.plan(rows, targets).where("short").select("source")
+    return p8_shares(spark, sf_dir).where("short").select("source")
 
 
 def p8_drawn(spark, sf_dir):

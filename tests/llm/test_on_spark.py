@@ -123,7 +123,7 @@ def test_packing(spark):
     rng = random.Random(6)
     rows = [(i, rng.choice([None, 0, 5, 10, 30, 64, 65, 200, rng.randrange(64)])) for i in range(500)] + [(0, 200), (0, 200), (None, 7)]
     df = spark.createDataFrame(rows, "id bigint, size bigint").withColumns({"n": F.lit(1), "_shard": F.lit(2), "container": F.lit("x")})
-    out = packing.pack(df, "id", F.col("size"), 64, shard_items=100)
+    out = packing.pack(df, "id", F.col("size"), 64, bucket_items=100)
     got = out.collect()
     fill = {}
     for r in got:
@@ -132,6 +132,10 @@ def test_packing(spark):
     assert sum(r["piece_no"] == 0 for r in got) == len(rows) and sum(fill.values()) / (64 * len(fill)) > 0.95
     assert {r["id"] for r in got if r["piece_no"] >= 1} == {i for i, s in rows if s and s > 64}
     assert packing.pack(df.where("false"), "id", F.col("size"), 64).count() == 0
+    # The containers of the plain algorithm over all items at once, however many buckets there are.
+    whole = packing.best_fit_decreasing([n for _, s in rows for n in [(s or 0) % 64] if n or not s], 64)
+    assert len({r["container"] for r in got if r["n"] < 64}) == len(set(whole))
+    assert len({r["container"] for r in packing.pack(df, "id", F.col("size"), 64, bucket_items=7).collect()}) == len(fill)
 
 
 @pytest.fixture
@@ -167,9 +171,16 @@ def test_mixing(spark):
     assert {(r["doc_id"], r["repeats"]) for r in mixing.draw(rows, planned, per_octave=1).collect()} == {(r["doc_id"], r["repeats"]) for r in drawn}
     shares = {r["source"]: r for r in mixing.shares(planned, mixing.draw(rows, planned)).collect()}
     assert abs(shares["big"]["share_of_total"] - 0.5) < 0.01 and shares["none"]["drawn"] == 0
+    assert {k: r["short"] for k, r in shares.items()} == {k: r["short"] for k, r in by.items()}
     assert mixing.plan(rows.where("false"), targets).where("short").count() == 0 and mixing.draw(rows, mixing.plan(rows, targets.where("false"))).count() == 0
 
 
+def test_scale_of_a_source(spark):
+    """0.8 is low in a source that counts to 100, and high in one that counts to 1."""
+    df = spark.createDataFrame([(1, "a", "x", 0.8), (2, "A ", "x", 90.0), (3, "b", "x", 0.8), (4, "b", "x", None), (5, None, "x", 50.0), (6, "b", None, float("nan"))], "doc_id int, source string, text string, align_score double")
+    assert {r["doc_id"]: round(r["quality"], 3) for r in mixing.sized(df).collect()} == {1: 0.01, 2: 0.9, 3: 0.8, 4: 0.5, 5: 0.5, 6: 0.5}
+
+
 def test_heavier_documents_come_first(spark):
     rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source_key"), F.lit(1).cast("bigint").alias("n"), F.when(F.col("id") % 2 == 0, 0.9).otherwise(0.1).alias("quality"))
     targets = spark.createDataFrame([("s", 0.25, 1)], "source string, target_share double, max_repeats int")

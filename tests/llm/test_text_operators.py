@@ -53,6 +53,29 @@ def test_levels(text, expected):
     assert chunking.level(text, 50) == expected
 
 
+def plain_level(text, limit):
+    """The definition, unit by unit and without an index."""
+    large = [b for b in chunking.blocks_of(text) if b[1] > limit]
+    if not large:
+        return "block"
+    if all(e - s <= limit or (not fenced and all(len(x) <= limit for x in re.split(r"(?<=[.!?])\s+", text[s:e]))) for _, _, fenced, lines in large for s, e in lines):
+        return "line"
+    return "word" if all(len(x) <= limit for x in text.split()) else "char"
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet="ab .!?\n\r\t`~é", max_size=200), st.integers(2, 40))
+def test_levels_against_the_definition(text, limit):
+    assert chunking.level(text, limit) == plain_level(text, limit)
+
+
+def test_least_length():
+    text = "head\n\n" + "word " * 100
+    assert chunking.pieces(text, 100, 3)[0][1:] == (6, chunking.BLOCK) and chunking.pieces(text, 100, 3, 25)[0][1:] == (96, chunking.WORD)
+    assert chunking.pieces("head\n\n" + "w" * 300, 100, 3, 25)[0] == (0, 6, chunking.BLOCK)  # nothing further on
+    assert all(e - s >= 25 for s, e, _ in chunking.pieces(text, 100, 20, 25)[:-1])
+
+
 def test_overlap_must_fit():
     with pytest.raises(ValueError):
         chunking.pieces("abc" * 10, 5, 5)
@@ -118,6 +141,26 @@ def test_best_fit_against_scan():
         packing.best_fit_decreasing([65], 64)
 
 
+def test_packing_of_a_million_items():
+    """The histogram takes the time of its sizes, and packs as item by item does."""
+    rng = random.Random(4)
+    sizes = [min(1023, int(rng.lognormvariate(4, 1))) for _ in range(1_000_000)]
+    used = {}
+    for s, b in zip(sizes, packing.best_fit_decreasing(sizes, 1024)):
+        used[b] = used.get(b, 0) + s
+    assert max(used.values()) <= 1024 and sum(used.values()) / (1024 * len(used)) > 0.999
+    plain, rooms = 0, []  # item by item, over every hundredth
+    few = sizes[::100]
+    for s in sorted(few, reverse=True):
+        fit = min((r for r in rooms if r >= s), default=None)
+        if fit is None:
+            fit, plain = 1024, plain + 1
+        else:
+            rooms.remove(fit)
+        rooms.append(fit - s)
+    assert len(set(packing.best_fit_decreasing(few, 1024))) == plain
+
+
 SAMPLES = [("en", g, f"{w} {w} and {w} the house {i}") for g, w in ((1, "cat"), (2, "river"), (5, "jurisdiction")) for i in range(4)] + [("fr", g, f"le {w} est {w} dans la maison") for g, w in ((1, "chat"), (5, "autorisation")) for i in range(4)]
 
 
