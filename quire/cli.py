@@ -1,7 +1,7 @@
 """Command line: convert, query and edit one document, or query a folder.
 
     python -m quire convert FILE --to html|ast|ai|terminal|markdown|typst|normalize|frontmatter
-    python -m quire query FOLDER "extra.owner=SC2 @heading"
+    python -m quire query FOLDER "extra.reviewer=kim @table"
 
 ``-`` or no file reads standard input. One document needs no Spark session; a folder starts one.
 """

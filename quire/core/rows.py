@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from quire.core.blocks import parse
-from quire.core.nodes import Document, flatten
+from quire.core.nodes import Block, Document, flatten
 
 BLOCK_FIELDS = [
     ("block_id", "int"), ("parent_id", "int"), ("parent_kind", "string"), ("depth", "int"), ("ordinal", "int"), ("top_index", "int"), ("item_no", "int"),
@@ -35,13 +37,16 @@ def _ordered(doc: Document):
     return out
 
 
-def block_rows(doc: Document):
+def block_rows(doc: Document, test: Callable[[Block], bool] | None = None):
+    """Every block, or those a test of the block with its inlines lets through."""
     nodes = _ordered(doc)
     last = list(range(len(nodes)))
     for n, parent, *_ in reversed(nodes):
         if parent is not None and last[n] > last[parent]:
             last[parent] = last[n]
     for n, parent, parent_kind, depth, ordinal, item, _, b in nodes:
+        if test is not None and not test(b):
+            continue
         kind = b.kind
         text = flatten(b.inlines) if kind in ("paragraph", "heading") else None
         yield (

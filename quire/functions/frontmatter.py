@@ -118,9 +118,6 @@ def serialize(json_text: Column, kind: Column) -> Column:
 
 # -- native queries on the tree ----------------------------------------------------------------------
 
-NESTED_LISTS = 6
-
-
 def variant_path(path: str) -> str | None:
     """The VARIANT path of a dotted one; None for the empty path, and for keys no path can name."""
     if not path:
@@ -160,18 +157,19 @@ def _scalar(v: Column, expected: str) -> Column:
 
 
 def equals(fm: Column, path: str, expected: str) -> Column:
-    """Filter equality: a scalar by its text, or a list with a matching item, lists in lists up to
-    NESTED_LISTS deep. Objects never match."""
+    """Filter equality: a scalar by its text, or a list with a matching item, in lists of any depth.
+    Objects never match."""
 
-    def match(v: Column, depth: int) -> Column:
-        hit = _scalar(v, expected)
-        if depth:
-            items = F.try_variant_get(v, "$", "array<variant>")
-            hit = hit | F.coalesce(F.exists(items, lambda x: match(x, depth - 1)), F.lit(False))
-        return hit
+    def items(v: Column) -> Column:
+        # One level of lists goes in each round; a value has no more levels than opening brackets.
+        inner = lambda x: F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.array(x))
+        levels = F.length(F.regexp_replace(F.coalesce(F.to_json(v), F.lit("")), r"[^\[]", ""))
+        rounds = F.when(levels > 0, F.sequence(F.lit(1), levels)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(rounds, F.array(v), lambda acc, _: F.flatten(F.transform(acc, inner)))
 
     # Bound by a lambda, so that the tree is parsed once and not in each place that looks at it.
-    return F.exists(F.array(field(fm, path)), lambda v: F.coalesce(v.isNotNull() & match(v, NESTED_LISTS), F.lit(False)))
+    found = lambda v: F.exists(items(v), lambda x: x.isNotNull() & _scalar(x, expected))
+    return F.exists(F.array(field(fm, path)), lambda v: F.coalesce(v.isNotNull() & found(v), F.lit(False)))
 
 
 def sort_keys(fm: Column, path: str) -> list[Column]:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.core import rows as R
 from quire.core.blocks import parse
+from quire.core.nodes import Block, Document
 from quire.runtime import materialize
 
 _ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
-MAX_BYTES = 16 * 1024 * 1024
 _FLUSH = 100_000
 
 
@@ -21,14 +24,14 @@ def _ddl(what: str) -> str:
 
 def nodes(
     df: DataFrame, id_col: str, text_col: str, what: str = "blocks", gfm: bool = True, skip_frontmatter: bool = True,
-    keep: list[str] | None = None, kinds: list[str] | None = None, max_bytes: int = MAX_BYTES,
+    keep: list[str] | None = None, kinds: list[str] | None = None, test: Callable[[Block], bool] | None = None,
 ) -> DataFrame:
     """One node table (blocks, inlines, cells, link_defs) of every document, keyed by ``id_col``.
 
-    Null texts and texts above ``max_bytes`` (16 MiB, the limit of a file) have no nodes. Filter the
+    Null texts have no nodes; texts of any size are parsed. Filter the
     documents first: the parse is a Python step no predicate passes through. ``keep`` names document
     columns to carry along, which saves the join back to the documents; ``kinds`` limits the rows that
-    leave the parse.
+    leave the parse, and of blocks so does ``test``, a function of the block with its inlines.
     """
     fields, make = R.FIELDS[what], R.ROWS[what]
     carried = [id_col, *(keep or [])]
@@ -50,9 +53,10 @@ def nodes(
                 )
 
             for i, text in enumerate(batch.column(len(carried)).to_pylist()):
-                if text is None or (len(text) > max_bytes // 4 and len(text.encode("utf-8", "surrogatepass")) > max_bytes):
+                if text is None:
                     continue
-                found = make(parse(text, gfm, skip_frontmatter))
+                doc = parse(text, gfm, skip_frontmatter)
+                found = make(doc) if test is None else make(doc, test)
                 found = list(found) if wanted is None else [r for r in found if r[at_kind] in wanted]
                 take.extend([i] * len(found))
                 for c, values in zip(cols, zip(*found)):
@@ -66,10 +70,11 @@ def nodes(
     return df.select(*carried, F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
-def parsed(df: DataFrame, id_col: str, text_col: str, gfm: bool = True, skip_frontmatter: bool = True) -> DataFrame:
-    """One row per document with all four node tables as arrays of structs, from a single parse."""
+def parsed(df: DataFrame, id_col: str, text_col: str, gfm: bool = True, skip_frontmatter: bool = True, tables: list[str] | None = None) -> DataFrame:
+    """One row per document with its node tables (all four, or those named) as arrays of structs, from a
+    single parse. A block's number is its place in the array, so parents are found without a join."""
     kind = df.schema[id_col].dataType.simpleString()
-    names = list(R.FIELDS)
+    names = tables or list(R.FIELDS)
     types = [pa.list_(pa.struct([(n, _ARROW[t]) for n, t in R.FIELDS[w]])) for w in names]
 
     def run(batches):
@@ -85,6 +90,16 @@ def parsed(df: DataFrame, id_col: str, text_col: str, gfm: bool = True, skip_fro
     return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, {structs}")
 
 
+def of_document(text: Column, f: Callable[[Document], str | None], gfm: bool = True, skip_frontmatter: bool = True) -> Column:
+    """Any text a function makes of the parsed document; null texts give null."""
+
+    @F.pandas_udf("string")
+    def made(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else f(parse(t, gfm, skip_frontmatter)) for t in texts], dtype=object)
+
+    return made(text)
+
+
 def node_tables(df: DataFrame, id_col: str, text_col: str, path: str | None = None, **options) -> dict[str, DataFrame]:
     """All four node tables from one parse, stored as Parquet (``path``, else the shared folder)."""
     one = parsed(df, id_col, text_col, **options)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quire.render.html import FILTERED
 
 # File name extensions of images.
-IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "gif", "webp", "bmp", "tiff", "tif", "svg", "avif")
+IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "gif", "webp", "bmp", "tiff", "tif", "svg", "ico")
 
 
 def html_escape(s: Column) -> Column:
@@ -25,7 +25,21 @@ def filter_tags(s: Column) -> Column:
 
 
 def markdown_escape(s: Column) -> Column:
-    return F.regexp_replace(s, r"([\\`*_\[\]<>#|~!{}])", r"\\$1")
+    """What Markdown text would read as marks, behind backslashes."""
+    return F.regexp_replace(s, r"([\\*_`\[\]<>!#|~&])", r"\\$1")
+
+
+def typst_escape(s: Column) -> Column:
+    """What Typst markup would read as marks, behind backslashes."""
+    return F.regexp_replace(s, r"([\\*_`#$@<\[\]~])", r"\\$1")
+
+
+def outline_quote(s: Column) -> Column:
+    """A text in double quotes, as the outline writes it."""
+    out = s
+    for raw, to in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        out = F.replace(out, F.lit(raw), F.lit(to))
+    return F.concat(F.lit('"'), out, F.lit('"'))
 
 
 def strip_ansi(s: Column) -> Column:
@@ -66,6 +80,13 @@ def link_url(s: Column) -> Column:
     return _each(url)(s)
 
 
+def title_attribute(s: Column) -> Column:
+    """A raw link title as the value of an HTML attribute: references and backslashes resolved, escaped."""
+    from quire.render.html import escape, unescape
+
+    return _each(lambda v: escape(unescape(v)))(s)
+
+
 def normalize_label(s: Column) -> Column:
     """A link label as references compare it: white space collapsed, case folded."""
     from quire.core.inlines import normalize_label as label

@@ -15,14 +15,20 @@ def remove_block(blocks: DataFrame, index: int) -> DataFrame:
     return blocks.where(F.col("top_index") != index).withColumn("top_index", F.col("top_index") - (F.col("top_index") > index).cast("int"))
 
 
+def _with_new(blocks: DataFrame, new: DataFrame) -> DataFrame:
+    """Both, told apart by ``_new``: documents meet in one shuffle, whatever is then asked of them."""
+    return blocks.withColumn("_new", F.lit(False)).unionByName(new.drop("top_index").withColumn("_new", F.lit(True)), allowMissingColumns=True)
+
+
 def insert_block(blocks: DataFrame, new: DataFrame, index: int) -> DataFrame:
     """``new`` (one row a document, the same columns but top_index) put in at ``index``; documents with
     fewer blocks get it at their end."""
-    ends = blocks.groupBy("doc_id").agg((F.max("top_index") + 1).alias("_n"))
-    placed = new.join(ends, "doc_id", "left").withColumn("top_index", F.least(F.lit(index), F.coalesce("_n", F.lit(0))).cast("int")).drop("_n")
-    at = placed.select("doc_id", F.col("top_index").alias("_at"))
-    moved = blocks.join(at, "doc_id", "left").withColumn("top_index", F.col("top_index") + F.coalesce((F.col("top_index") >= F.col("_at")).cast("int"), F.lit(0))).drop("_at")
-    return moved.unionByName(placed, allowMissingColumns=True)
+    of_doc = Window.partitionBy("doc_id")
+    rows = _with_new(blocks, new).withColumns({
+        "_at": F.least(F.lit(index), F.coalesce(F.max("top_index").over(of_doc) + 1, F.lit(0))).cast("int"), "_has": F.max("_new").over(of_doc),
+    })
+    moved = F.col("top_index") + (F.col("_has") & (F.col("top_index") >= F.col("_at"))).cast("int")
+    return rows.withColumn("top_index", F.when(F.col("_new"), F.col("_at")).otherwise(moved)).drop("_new", "_at", "_has")
 
 
 def append_block(blocks: DataFrame, new: DataFrame) -> DataFrame:
@@ -31,9 +37,10 @@ def append_block(blocks: DataFrame, new: DataFrame) -> DataFrame:
 
 def replace_block(blocks: DataFrame, new: DataFrame, index: int) -> DataFrame:
     """``new`` in place of the block at ``index``, in documents that have one there and a new one."""
-    have = blocks.where(F.col("top_index") == index).select("doc_id")
-    placed = new.join(have, "doc_id", "left_semi").withColumn("top_index", F.lit(index))
-    return blocks.join(placed.select("doc_id", "top_index"), ["doc_id", "top_index"], "left_anti").unionByName(placed, allowMissingColumns=True)
+    of_doc, at = Window.partitionBy("doc_id"), F.coalesce(F.col("top_index") == index, F.lit(False))
+    rows = _with_new(blocks, new).withColumns({"_old": F.max(at).over(of_doc), "_has": F.max("_new").over(of_doc)})
+    kept = rows.where(F.when(F.col("_new"), F.col("_old")).otherwise(~(F.col("_has") & at)))
+    return kept.withColumn("top_index", F.when(F.col("_new"), F.lit(index)).otherwise(F.col("top_index"))).drop("_new", "_old", "_has")
 
 
 def section(blocks: DataFrame, start: str, end: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,9 +17,11 @@ DOCUMENTS = "doc_id bigint, doc_seq bigint, path string, source string"
 RESULT = ["doc_seq", "doc_id", "path", "fm_json", "block_id", "kind", "level", "text", "language", "confidence"]
 
 
-def _parse_error(name: str) -> Column:
-    """Why a document has no nodes: it is above the limit the parser takes."""
-    return F.when(F.octet_length(name) > parsing.MAX_BYTES, F.lit(f"larger than {parsing.MAX_BYTES} bytes")).alias("parse_error")
+def _parse_error(name: str, max_bytes: int | None) -> Column:
+    """Why a document has no nodes: it is above the limit its collection sets."""
+    if max_bytes is None:
+        return F.lit(None).cast("string").alias("parse_error")
+    return F.when(F.octet_length(name) > max_bytes, F.lit(f"larger than {max_bytes} bytes")).alias("parse_error")
 
 
 class Library:
@@ -39,8 +42,9 @@ class Library:
         return cls.from_rows(spark.createDataFrame([], DOCUMENTS))
 
     @classmethod
-    def from_rows(cls, df: DataFrame, on_error: str = "permissive", sniff: str = "strict", strip: str = "cli") -> Library:
-        """From doc_id, doc_seq, path?, source?. Unreadable frontmatter gives fm_error, or with
+    def from_rows(cls, df: DataFrame, on_error: str = "permissive", sniff: str = "strict", strip: str = "cli", max_bytes: int | None = None) -> Library:
+        """From doc_id, doc_seq, path?, source?. Documents above ``max_bytes`` have parse_error and no
+        nodes, whichever way they are asked for; without it all are parsed. Unreadable frontmatter gives fm_error, or with
         ``on_error='failfast'`` ends the job. Null sources are documents without anything."""
         base = df.select("doc_id", "doc_seq", "path", "source")
         read = base.withColumn("_fm", fmf.read(F.col("source"), sniff))
@@ -51,7 +55,7 @@ class Library:
             "doc_id", "doc_seq", "path", "source",
             F.expr("substring(source, _fm.body_start + 1)").alias("body"),
             F.xxhash64("source").alias("content_hash"),
-            F.col("_fm.format").alias("fm_format"), F.col("_fm.json").alias("fm_json"), error.alias("fm_error"), _parse_error("source"),
+            F.col("_fm.format").alias("fm_format"), F.col("_fm.json").alias("fm_json"), error.alias("fm_error"), _parse_error("source", max_bytes),
         )
         return cls(docs, strip)
 
@@ -64,12 +68,12 @@ class Library:
         )
 
     @classmethod
-    def from_parts(cls, df: DataFrame, id_col: str, body_col: str, fm_col: str, format_col: str, seq_col: str | None = None, path_col: str | None = None) -> Library:
+    def from_parts(cls, df: DataFrame, id_col: str, body_col: str, fm_col: str, format_col: str, seq_col: str | None = None, path_col: str | None = None, max_bytes: int | None = None) -> Library:
         """From documents whose frontmatter is stored apart, without its delimiters."""
         docs = df.select(
             F.col(id_col).cast("bigint").alias("doc_id"), F.col(seq_col or id_col).cast("bigint").alias("doc_seq"), (F.col(path_col) if path_col else F.lit(None)).cast("string").alias("path"),
             F.col(body_col).alias("source"), F.col(body_col).alias("body"), F.xxhash64(body_col).alias("content_hash"), F.col(format_col).alias("fm_format"),
-            fmf.to_json(F.col(fm_col), F.col(format_col)).alias("fm_json"), F.lit(None).cast("string").alias("fm_error"), _parse_error(body_col),
+            fmf.to_json(F.col(fm_col), F.col(format_col)).alias("fm_json"), F.lit(None).cast("string").alias("fm_error"), _parse_error(body_col, max_bytes),
         )
         return cls(docs)
 
@@ -92,10 +96,12 @@ class Library:
         return Library(self.docs.unionByName(Library.from_rows(new, **options).docs), self.strip)
 
     def add_file(self, path: str, **options) -> Library:
+        from quire.sources.markdown_files import MAX_BYTES
+
         with open(path, "rb") as f:
-            data = f.read(parsing.MAX_BYTES + 1)
-        if len(data) > parsing.MAX_BYTES:
-            raise ValueError(f"{path} is larger than {parsing.MAX_BYTES} bytes")
+            data = f.read(MAX_BYTES + 1)
+        if len(data) > MAX_BYTES:
+            raise ValueError(f"{path} is larger than {MAX_BYTES} bytes")
         return self.add(data.decode("utf-8", "replace"), path, **options)
 
     def add_dir(self, root: str, **options) -> Library:
@@ -117,9 +123,10 @@ class Library:
     def text_column(self) -> str:
         return "body" if self.strip == "cli" else "source"
 
-    def nodes(self, what: str = "blocks", docs: DataFrame | None = None, keep: list[str] | None = None, kinds: list[str] | None = None) -> DataFrame:
+    def nodes(self, what: str = "blocks", docs: DataFrame | None = None, keep: list[str] | None = None, kinds: list[str] | None = None, test: Callable | None = None) -> DataFrame:
         """A node table of the collection, or of a part of its documents."""
-        return parsing.nodes(docs if docs is not None else self.docs, "doc_id", self.text_column(), what, skip_frontmatter=self.strip != "cli", keep=keep, kinds=kinds)
+        docs = (docs if docs is not None else self.docs).where("parse_error is null")
+        return parsing.nodes(docs, "doc_id", self.text_column(), what, skip_frontmatter=self.strip != "cli", keep=keep, kinds=kinds, test=test)
 
     def store_nodes(self, path: str | None = None) -> Library:
         """Parses once and keeps the blocks, partitioned by kind so that ``@kind`` reads its files only."""
@@ -141,13 +148,13 @@ class Library:
         tests: list[Column] = [fmf.exists(fm, f.path) if f.value is None else fmf.equals(fm, f.path, f.value) for f in filters]
         return self.docs.where(reduce(lambda a, b: a & b, tests))
 
-    def query(self, selector: str) -> DataFrame:
+    def query(self, selector: str, max_filters: int | None = None) -> DataFrame:
         """The rows a selector asks for: documents, or with ``@kind`` their blocks at any depth.
 
         Documents are filtered before anything is parsed. Rows rank by confidence (always 1), then in
         collection order; an unknown kind gives no rows.
         """
-        plan = selectors.parse(selector)
+        plan = selectors.parse(selector, max_filters)
         docs = self.where(plan.filters)
         head = ["doc_seq", "doc_id", "path", "fm_json"]
         none = lambda name, kind: F.lit(None).cast(kind).alias(name)
@@ -209,16 +216,14 @@ class Library:
         return rows.select("doc_id", "block_id", "inline_id", "text", "url", "title", "link_type")
 
     def paragraphs_with(self, inline_kind: str) -> DataFrame:
-        """Top-level paragraphs with an inline of the kind as a direct child."""
-        found = self.nodes("inlines", kinds=[inline_kind]).where((F.col("kind") == inline_kind) & (F.col("depth") == 0)).select("doc_id", "block_id")
-        return self.top("paragraph").join(found, ["doc_id", "block_id"], "left_semi")
+        """Top-level paragraphs with an inline of the kind as a direct child, tested in the parse."""
+        return self.nodes(kinds=["paragraph"], test=lambda b: any(i.kind == inline_kind for i in b.inlines)).where("depth = 0")
 
     def text_at(self, path: str) -> DataFrame:
         """(doc_id, text) of ``heading[N]``, N counting all top-level blocks from 0."""
-        ok = path.startswith("heading[") and path.endswith("]") and path[8:-1].isdigit()
-        n = int(path[8:-1]) if ok else -1
-        first = self.nodes("inlines", kinds=["text"]).where("depth = 0 and ordinal = 0 and kind = 'text' and cell_row is null").select("doc_id", "block_id", F.col("content").alias("first_text"))
-        return self.top("heading").where(F.col("top_index") == n).join(first, ["doc_id", "block_id"]).select("doc_id", F.col("first_text").alias("text"))
+        docs = self.docs.where("parse_error is null")
+        found = parsing.of_document(F.col(self.text_column()), lambda d: d.text_at(path), skip_frontmatter=self.strip != "cli")
+        return docs.select("doc_id", found.alias("text")).where("text is not null")
 
     def changed(self, known: DataFrame) -> DataFrame:
         """Documents whose (path, content_hash) is not in ``known``."""

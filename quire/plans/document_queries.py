@@ -11,6 +11,7 @@ from quire.functions import parsing, rendering, text
 from quire.operators import edit
 from quire.operators.library import Library
 from quire.plans import fixtures as fx
+from quire.plans.engine_queries import placed
 from quire.runtime import spread, table
 
 QUERIES, ORACLE = {}, {}
@@ -36,8 +37,8 @@ def _bare(df) -> Library:
     return Library(docs.withColumns({c: F.lit(None).cast("string") for c in ("fm_format", "fm_json", "fm_error", "parse_error")}))
 
 
-def _entries(spark, sf_dir) -> Library:
-    return Library.from_parts(spread(table(spark, sf_dir, "entries")), "entry_id", "document", "frontmatter", "fm_format", path_col="path")
+def _entries(spark, sf_dir, **options) -> Library:
+    return Library.from_parts(spread(table(spark, sf_dir, "entries")), "entry_id", "document", "frontmatter", "fm_format", path_col="path", **options)
 
 
 # -- collection queries ------------------------------------------------------------------------------
@@ -118,12 +119,11 @@ def c12_empty(spark, sf_dir):
     return _lib(fx.pages(spark, sf_dir)).query("missing.field=1").select("doc_id")
 
 
-@_query("""SELECT doc_id FROM documents WHERE lang IN ('de') ORDER BY align_score IS NULL,
- CASE WHEN align_score IS NOT NULL THEN round(align_score, 4) END DESC, doc_id LIMIT 100""")
+@_query("""SELECT doc_id, row_number() OVER (ORDER BY align_score IS NULL, round(align_score, 4) DESC, doc_id) - 1 AS place FROM documents WHERE lang = 'de'""")
 def c13_sort(spark, sf_dir):
-    """The first hundred by a numeric field, descending, documents without it last."""
+    """All by a numeric field, descending, documents without it last."""
     lib = _lib(fx.pages(spark, sf_dir))
-    return lib.sort_by(lib.query("extra.lang=de"), "extra.score", ascending=False).limit(100).select("doc_id")
+    return placed(lib.sort_by(lib.query("extra.lang=de"), "extra.score", ascending=False))
 
 
 @_query("""SELECT entry_id AS doc_id FROM entries e WHERE NOT EXISTS
@@ -186,16 +186,17 @@ def parse_p9_fences(spark, sf_dir):
 
 @_query("SELECT n_regionkey::BIGINT AS doc_id, n_name AS text, n_nationkey % 2 = 0 AS checked FROM nation")
 def parse_p12_tasks(spark, sf_dir):
-    nodes = _bare(fx.nations(spark, sf_dir)).nodes()
-    items = nodes.where("kind = 'list_item'").select("doc_id", F.col("block_id").alias("parent_id"), F.col("task_checked").alias("checked"))
-    return nodes.where("kind = 'paragraph'").join(items, ["doc_id", "parent_id"]).select("doc_id", "text", "checked")
+    """Paragraphs of task items, each with the state of the item above it."""
+    one = parsing.parsed(fx.nations(spark, sf_dir), "doc_id", "source", tables=["blocks"])
+    rows = one.select("doc_id", "blocks", F.explode("blocks").alias("b")).where("b.kind = 'paragraph'")
+    return rows.select("doc_id", "b.text", F.get("blocks", F.col("b.parent_id"))["task_checked"].alias("checked"))
 
 
 @_query("SELECT n_regionkey::BIGINT AS doc_id, count(*)::BIGINT AS n, true AS tight, 'unordered' AS list_type FROM nation GROUP BY 1")
 def parse_p11_lists(spark, sf_dir):
-    nodes = _bare(fx.nations(spark, sf_dir)).nodes()
-    lists = nodes.where("kind = 'list'").select("doc_id", F.col("block_id").alias("parent_id"), F.col("list_tight").alias("tight"), "list_type")
-    return nodes.where("kind = 'list_item'").select("doc_id", "parent_id").join(lists, ["doc_id", "parent_id"]).groupBy("doc_id", "tight", "list_type").agg(F.count("*").alias("n"))
+    one = parsing.parsed(fx.nations(spark, sf_dir), "doc_id", "source", tables=["blocks"])
+    items = one.select("doc_id", "blocks", F.explode("blocks").alias("b")).where("b.kind = 'list_item'").select("doc_id", F.get("blocks", F.col("b.parent_id")).alias("l"))
+    return items.groupBy("doc_id", F.col("l.list_tight").alias("tight"), F.col("l.list_type").alias("list_type")).agg(F.count("*").alias("n"))
 
 
 @_query("SELECT s_suppkey AS doc_id, '<div>' || chr(10) || s_name || chr(10) || '</div>' || chr(10) AS content FROM supplier")
@@ -206,12 +207,12 @@ def parse_p13_html(spark, sf_dir):
 @_query("SELECT o_orderkey AS doc_id, o_orderkey::VARCHAR AS label, o_orderpriority AS text FROM orders")
 def parse_p14_footnotes(spark, sf_dir):
     """Footnote references joined with their definitions."""
-    lib = _bare(fx.notes(spark, sf_dir))
-    nodes = lib.nodes()
-    defs = nodes.where("kind = 'footnote_definition'").select("doc_id", F.col("block_id").alias("parent_id"), "label")
-    texts = nodes.where("parent_kind = 'footnote_definition'").select("doc_id", "parent_id", "text")
-    refs = lib.nodes("inlines", kinds=["footnote_reference"]).select("doc_id", "label")
-    return refs.join(defs.join(texts, ["doc_id", "parent_id"]), ["doc_id", "label"]).select("doc_id", "label", "text")
+    one = parsing.parsed(fx.notes(spark, sf_dir), "doc_id", "source", tables=["blocks", "inlines"])
+    refs = one.select("doc_id", "blocks", F.explode(F.filter("inlines", lambda i: i["kind"] == "footnote_reference")).alias("r"))
+    definition = F.filter("blocks", lambda b: (b["kind"] == "footnote_definition") & (b["label"] == F.col("r.label")))
+    refs = refs.select("doc_id", "blocks", "r", F.explode(definition).alias("d"))
+    texts = F.explode(F.filter("blocks", lambda b: b["parent_id"] == F.col("d.block_id"))).alias("b")
+    return refs.select("doc_id", "r.label", texts).select("doc_id", "label", "b.text")
 
 
 @_query("SELECT l_orderkey AS doc_id, count(*)::BIGINT AS n, sum(l_quantity::INT)::BIGINT AS qty FROM lineitem GROUP BY 1")
@@ -252,10 +253,12 @@ def parse_entries_profile(spark, sf_dir):
     return blocks.groupBy("kind", "depth", "level").agg(F.count("*").alias("n"), F.countDistinct("entry_id").alias("n_entries"))
 
 
-@_query("SELECT CASE WHEN d.n_big THEN 'broken' ELSE 'whole' END AS state, count(*)::BIGINT AS n FROM (SELECT strlen(document) > 16777216 AS n_big FROM entries) d GROUP BY 1")
+@_query("SELECT entry_id AS doc_id, strlen(document) > 2500 AS marked, strlen(document) <= 2500 AND regexp_matches(document, '\\S') AS parsed FROM entries")
 def s2_limits(spark, sf_dir):
-    """Documents above the size the parser takes are marked, not failed."""
-    return _entries(spark, sf_dir).docs.groupBy(F.when(F.col("parse_error").isNull(), "whole").otherwise("broken").alias("state")).agg(F.count("*").alias("n"))
+    """Documents above a collection's limit are marked, not failed, and have no nodes."""
+    lib = _entries(spark, sf_dir, max_bytes=2500)
+    some = lib.nodes().where("block_id = 0").select("doc_id", F.lit(True).alias("p"))
+    return lib.docs.select("doc_id", F.col("parse_error").isNotNull().alias("marked")).join(some, "doc_id", "left").select("doc_id", "marked", F.coalesce("p", F.lit(False)).alias("parsed"))
 
 
 @_query()
@@ -282,16 +285,28 @@ def f2_json(spark, sf_dir):
     return rows.groupBy("k").agg(F.count("*").alias("n"))
 
 
-@_query("""SELECT fm_id, json_extract_string(root, '$.title') AS title, json_extract_string(root, '$.weight') AS weight,
- CASE WHEN json_type(root, '$.tags') = 'ARRAY' THEN json_array_length(root, '$.tags') END::BIGINT AS n_tags
- FROM frontmatters WHERE json_valid(root) AND json_type(root) = 'OBJECT' AND frontmatter IS NOT NULL""")
-def f2_formats(spark, sf_dir):
-    """The four source formats read into one tree, for the files whose exported root is whole."""
-    rows = spread(table(spark, sf_dir, "frontmatters")).where(F.schema_of_variant(F.try_parse_json("root")).startswith("OBJECT") & F.col("frontmatter").isNotNull())
+def _trees(rows):
+    """Rows with the variant of their raw frontmatter, and a getter of its fields."""
     v = F.try_parse_json(fmf.to_json(F.col("frontmatter"), F.col("fm_format")))
-    get = lambda p, t: F.try_variant_get(v, p, t)
+    return rows, lambda path, kind: F.try_variant_get(v, path, kind)
+
+
+@_query(r"""SELECT fm_id, CASE WHEN whole THEN nullif(regexp_extract(frontmatter, '(?:^|[\s,{.])"?title"?\s*[:=]\s*"([^"]*)"', 1), '') END AS title, CASE WHEN whole THEN nullif(regexp_extract(frontmatter, '(?:^|[\s,{.])"?weight"?\s*[:=]\s*"?([0-9.]+)', 1), '') END AS weight
+ FROM (SELECT *, len(regexp_extract_all(frontmatter, '"')) % 2 = 0 AND len(regexp_extract_all(frontmatter, '[{\[]')) = len(regexp_extract_all(frontmatter, '[}\]]')) AND (fm_format <> 'yaml' OR regexp_matches(frontmatter, '(?:^|\n)[ ]*(?:-(?: .*)?|[^\s:]+:(?: .*)?)\s*$')) AS whole
+       FROM frontmatters WHERE frontmatter IS NOT NULL)""")
+def f2_formats(spark, sf_dir):
+    """The four source formats read into one tree; the SQL finds the fields in the raw source, where it is not cut off."""
+    rows, get = _trees(spread(table(spark, sf_dir, "frontmatters")).where("frontmatter is not null"))
+    return rows.select("fm_id", get("$.title", "string").alias("title"), get("$.weight", "string").alias("weight"))
+
+
+@_query("""SELECT fm_id, CASE WHEN json_type(root, '$.tags') = 'ARRAY' THEN json_array_length(root, '$.tags') END::BIGINT AS n_tags, json_extract_string(root, '$.extra.owner') AS owner
+ FROM frontmatters WHERE json_valid(root) AND json_type(root) = 'OBJECT' AND frontmatter IS NOT NULL""")
+def f2_trees(spark, sf_dir):
+    """Lists and nested fields of the raw source, for the files whose exported root there is to compare with."""
+    rows, get = _trees(spread(table(spark, sf_dir, "frontmatters")).where(F.schema_of_variant(F.try_parse_json("root")).startswith("OBJECT") & F.col("frontmatter").isNotNull()))
     tags = get("$.tags", "array<variant>")
-    return rows.select("fm_id", get("$.title", "string").alias("title"), get("$.weight", "string").alias("weight"), F.when(tags.isNotNull(), F.size(tags)).cast("bigint").alias("n_tags"))
+    return rows.select("fm_id", F.when(tags.isNotNull(), F.size(tags)).cast("bigint").alias("n_tags"), get("$.extra.owner", "string").alias("owner"))
 
 
 @_query("SELECT doc_id, coalesce(lang, '') AS lang, source FROM documents")
@@ -341,8 +356,9 @@ def k4_dump(spark, sf_dir):
 # -- edits -------------------------------------------------------------------------------------------
 
 
-def _new(blocks, kind, content):
-    return blocks.select("doc_id").distinct().withColumns({"kind": F.lit(kind), "text": F.lit(content), "depth": F.lit(0)})
+def _new(spark, sf_dir, kind, content):
+    docs = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id")).distinct()
+    return docs.withColumns({"kind": F.lit(kind), "text": F.lit(content), "depth": F.lit(0)})
 
 
 def _tops(spark, sf_dir):
@@ -350,30 +366,31 @@ def _tops(spark, sf_dir):
 
 
 _ORDERED = """SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i,
- CASE event_type WHEN 'purchase' THEN 'blockquote' WHEN 'signup' THEN 'fenced_code_block' WHEN 'error' THEN 'paragraph' ELSE 'heading' END AS kind FROM events"""
+ CASE event_type WHEN 'purchase' THEN 'blockquote' WHEN 'signup' THEN 'fenced_code_block' WHEN 'error' THEN 'paragraph' ELSE 'heading' END AS kind,
+ CASE event_type WHEN 'purchase' THEN NULL WHEN 'signup' THEN event_id::VARCHAR ELSE event_type || ' ' || event_id END AS text FROM events"""
 
 
-@_query(f"SELECT doc_id, i::INT AS top_index, kind FROM ({_ORDERED}) UNION ALL SELECT user_id, count(*)::INT, 'paragraph' FROM events GROUP BY 1")
+@_query(f"SELECT doc_id, i::INT AS top_index, kind, text FROM ({_ORDERED}) UNION ALL SELECT user_id, count(*)::INT, 'paragraph', 'end' FROM events GROUP BY 1")
 def e1_append(spark, sf_dir):
     blocks = _tops(spark, sf_dir)
-    return edit.append_block(blocks, _new(blocks, "paragraph", "end")).select("doc_id", "top_index", "kind")
+    return edit.append_block(blocks, _new(spark, sf_dir, "paragraph", "end")).select("doc_id", "top_index", "kind", "text")
 
 
-@_query(f"SELECT doc_id, (i + CASE WHEN i >= 2 THEN 1 ELSE 0 END)::INT AS top_index, kind FROM ({_ORDERED}) UNION ALL SELECT user_id, least(2, count(*))::INT, 'thematic_break' FROM events GROUP BY 1")
+@_query(f"SELECT doc_id, (i + CASE WHEN i >= 2 THEN 1 ELSE 0 END)::INT AS top_index, kind, text FROM ({_ORDERED}) UNION ALL SELECT user_id, least(2, count(*))::INT, 'thematic_break', NULL FROM events GROUP BY 1")
 def e2_insert(spark, sf_dir):
     blocks = _tops(spark, sf_dir)
-    return edit.insert_block(blocks, _new(blocks, "thematic_break", None), 2).select("doc_id", "top_index", "kind")
+    return edit.insert_block(blocks, _new(spark, sf_dir, "thematic_break", None), 2).select("doc_id", "top_index", "kind", "text")
 
 
-@_query(f"SELECT doc_id, (i - CASE WHEN i > 0 THEN 1 ELSE 0 END)::INT AS top_index, kind FROM ({_ORDERED}) WHERE i <> 0")
+@_query(f"SELECT doc_id, (i - CASE WHEN i > 0 THEN 1 ELSE 0 END)::INT AS top_index, kind, text FROM ({_ORDERED}) WHERE i <> 0")
 def e3_remove(spark, sf_dir):
-    return edit.remove_block(_tops(spark, sf_dir), 0).select("doc_id", "top_index", "kind")
+    return edit.remove_block(_tops(spark, sf_dir), 0).select("doc_id", "top_index", "kind", "text")
 
 
-@_query(f"SELECT doc_id, i::INT AS top_index, CASE WHEN i = 1 THEN 'html_block' ELSE kind END AS kind FROM ({_ORDERED})")
+@_query(f"SELECT doc_id, i::INT AS top_index, CASE WHEN i = 1 THEN 'html_block' ELSE kind END AS kind, CASE WHEN i = 1 THEN '<hr>' ELSE text END AS text FROM ({_ORDERED})")
 def e4_replace(spark, sf_dir):
     blocks = _tops(spark, sf_dir)
-    return edit.replace_block(blocks, _new(blocks, "html_block", "<hr>"), 1).select("doc_id", "top_index", "kind")
+    return edit.replace_block(blocks, _new(spark, sf_dir, "html_block", "<hr>"), 1).select("doc_id", "top_index", "kind", "text")
 
 
 @_query("""SELECT user_id AS doc_id, event_type || ' ' || event_id AS text FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n
@@ -488,7 +505,7 @@ def x4_tag_filter(spark, sf_dir):
     return table(spark, sf_dir, "entries").select("entry_id", ((after - before) / 3).cast("bigint").alias("n"))
 
 
-@_query("SELECT block_id, regexp_replace(content, '([\\\\`*_\\[\\]<>#|~!{}])', '\\\\\\1', 'g') AS text FROM code_blocks")
+@_query("SELECT block_id, regexp_replace(content, '([\\\\*_`\\[\\]<>!#|~&])', '\\\\\\1', 'g') AS text FROM code_blocks")
 def x6_escape(spark, sf_dir):
     return table(spark, sf_dir, "code_blocks").select("block_id", text.markdown_escape(F.col("content")).alias("text"))
 
@@ -498,6 +515,6 @@ def x8_base64(spark, sf_dir):
     return table(spark, sf_dir, "code_blocks").select("block_id", F.regexp_replace(F.base64(F.encode("content", "utf-8")), "\r\n", "").alias("text"))
 
 
-@_query("SELECT entry_id, coalesce(regexp_matches(lower(path), '\\.(png|jpg|jpeg|gif|webp|bmp|tiff|tif|svg|avif)$'), false) AS is_image FROM entries")
+@_query("SELECT entry_id, coalesce(regexp_matches(lower(path), '\\.(png|jpg|jpeg|gif|webp|bmp|tiff|tif|svg|ico)$'), false) AS is_image FROM entries")
 def x9_images(spark, sf_dir):
     return table(spark, sf_dir, "entries").select("entry_id", text.is_image(F.col("path")).alias("is_image"))

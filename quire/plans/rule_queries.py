@@ -81,11 +81,11 @@ def parse_p3_front(spark, sf_dir):
     return lib.nodes().select("doc_id", "kind", "text")
 
 
-@_query("SELECT p_partkey AS doc_id, p_name AS title, p_size::BIGINT AS size, true AS tagged FROM part WHERE p_size > 20")
+@_query("SELECT p_partkey AS doc_id, p_name AS title, p_size::BIGINT AS size, true AS tagged FROM part")
 def f4_zon(spark, sf_dir):
     """ZON frontmatter, braces inside strings and enum literals included."""
     made = F.concat(F.lit('.{ .title = "'), "p_name", F.lit(' }", .size = '), F.col("p_size").cast("string"), F.lit(", .tags = .{ .part, 0x10 }, }\n# x"))
-    lib = Library.from_column(_parts(spark, sf_dir).where("p_size > 20").select(F.col("p_partkey").alias("doc_id"), made.alias("source")), "doc_id", "source")
+    lib = Library.from_column(_parts(spark, sf_dir).select(F.col("p_partkey").alias("doc_id"), made.alias("source")), "doc_id", "source")
     fm = F.try_parse_json("fm_json")
     tagged = fmf.equals(fm, "tags", "part") & fmf.equals(fm, "tags", "16")
     return lib.docs.select("doc_id", F.regexp_replace(F.try_variant_get(fm, "$.title", "string"), " }$", "").alias("title"), F.try_variant_get(fm, "$.size", "bigint").alias("size"), tagged.alias("tagged"))

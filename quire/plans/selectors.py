@@ -7,8 +7,6 @@ from dataclasses import dataclass, field
 
 from quire.core.nodes import BLOCK_KINDS
 
-MAX_FILTERS = 16
-
 #: What a source must contain for a block kind to occur in it; may match too much, never too little.
 NEEDLES = {
     "heading": r"#|(?m)^.*[=-]",
@@ -40,9 +38,10 @@ class Selector:
     kind: str | None = None  # None with selects_blocks: a kind that does not exist
 
 
-def parse(query: str) -> Selector:
-    """Tokens are separated by blanks and tabs only. Filters beyond the sixteenth are dropped; of
-    several ``@kind`` the last counts; ``path=`` compares with the empty text."""
+def parse(query: str, max_filters: int | None = None) -> Selector:
+    """Tokens are separated by blanks and tabs only. Of several ``@kind`` the last counts; ``path=``
+    compares with the empty text. All filters count; 16 for ``max_filters`` drops those beyond the
+    sixteenth, as some readers of the language do."""
     out = Selector()
     for token in re.split(r"[ \t]+", query):
         if not token:
@@ -50,7 +49,7 @@ def parse(query: str) -> Selector:
         if token[0] == "@":
             out.selects_blocks = True
             out.kind = token[1:] if token[1:] in BLOCK_KINDS else None
-        elif len(out.filters) < MAX_FILTERS:
+        elif max_filters is None or len(out.filters) < max_filters:
             path, eq, value = token.partition("=")
             out.filters.append(Filter(path, value if eq else None))
     return out

@@ -6,7 +6,7 @@ from quire.core.nodes import Block, Document, Inline
 
 
 def _quoted(s: str) -> str:
-    return '"' + s.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n") + '"'
+    return '"' + s.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n").replace("\r", "\\r").replace("\t", "\\t") + '"'
 
 
 def _only_text(items: list[Inline]) -> str | None:

@@ -14,7 +14,7 @@ def parse_stream(docs: DataFrame, id_col: str, text_col: str, what: str = "block
     return parsing.nodes(docs, id_col, text_col, what, **options)
 
 
-def store_stream(docs: DataFrame, id_col: str, text_col: str, target: str, checkpoint: str, what: str = "blocks", available_now: bool = True) -> StreamingQuery:
+def store_stream(docs: DataFrame, id_col: str, text_col: str, target: str, checkpoint: str, what: str = "blocks", available_now: bool = True, **options) -> StreamingQuery:
     """Appends the nodes of new documents to ``target``.
 
     Each micro-batch overwrites the folder of its own number, so one that is repeated after a failure
@@ -22,7 +22,7 @@ def store_stream(docs: DataFrame, id_col: str, text_col: str, target: str, check
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        parsing.nodes(batch, id_col, text_col, what).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        parsing.nodes(batch, id_col, text_col, what, **options).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     writer = docs.select(id_col, text_col).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -30,7 +30,8 @@ def test_selector_language():
     p = selectors.parse("a.b=1 \t@heading c @table d==x e=")
     assert p.filters == [selectors.Filter("a.b", "1"), selectors.Filter("c"), selectors.Filter("d", "=x"), selectors.Filter("e", "")] and p.kind == "table" and p.selects_blocks
     assert selectors.parse("@x").selects_blocks and selectors.parse("@x").kind is None and selectors.parse(" ").filters == []
-    assert len(selectors.parse(" ".join(f"f{i}" for i in range(30))).filters) == 16
+    many = " ".join(f"f{i}" for i in range(30))
+    assert len(selectors.parse(many).filters) == 30 and len(selectors.parse(many, max_filters=16).filters) == 16
     assert selectors.parse("a\nb").filters == [selectors.Filter("a\nb")]
 
 
@@ -103,7 +104,9 @@ def test_node_tables(spark, lib):
     assert set(tables) == {"blocks", "inlines", "cells", "link_defs"}
     assert sorted(tables["blocks"].collect()) == sorted(lib.nodes().collect())
     frame = spark.createDataFrame([(1, "x" * 100, "k")], "id int, text string, kind string")
-    assert parsing.nodes(frame, "id", "text", max_bytes=50).count() == 0
+    limited = Library.from_column(frame, "id", "text", max_bytes=50)
+    assert limited.docs.first()["parse_error"] == "larger than 50 bytes" and limited.nodes().count() == 0 and limited.text_at("heading[0]").count() == 0
+    assert parsing.nodes(frame.drop("kind"), "id", "text").count() == 1
     with pytest.raises(ValueError):
         parsing.nodes(frame, "id", "text", keep=["kind"])
 

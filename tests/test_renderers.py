@@ -22,6 +22,8 @@ OUTLINE = [
     ("[^n]\n\n[^n]: t", 'P\n ^n\nFN=n\n P "t"\n'),
     ("<div>\nx\n</div>", 'HTML "<div>\\nx\\n</div>\\n"\n'),
     ("***", "HR\n"),
+    ("a\tb", 'P "a\\tb"\n'),
+    ("    a\rb", 'CB "a\\rb"\n'),
     ("", ""),
 ]
 
