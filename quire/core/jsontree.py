@@ -183,26 +183,37 @@ TYPES = ("string", "integer", "float", "boolean", "list")
 BIT = {name: 1 << i for i, name in enumerate(TYPES)}
 
 
-def fields(root: dict) -> dict[str, tuple[int, list[str]]]:
+def fields(root: dict, places: bool = False) -> dict[str, tuple[int, list[str | None]]]:
     """Field path to (set of types as bits, values as text in order).
 
     A field is a path to a non-null value that is no object: keys joined by ``.``, with ``[]`` for
     each list passed through. Items of a list that are no objects are no fields of their own; objects
-    in lists within lists are reached through ``[][]``.
+    in lists within lists are reached through ``[][]``. With ``places`` an object of a list that lacks
+    the field leaves a None, so the values of all fields below one list stand at the places of its objects.
     """
-    out: dict[str, tuple[int, list[str]]] = {}
-    stack = [("", root)]
+    out: dict[str, tuple[int, list[str | None]]] = {}
+    counts: dict[str, int] = {}  # objects met so far in the lists of a path
+    below_list: dict[str, str] = {}
+    stack: list[tuple[str, object, tuple[str, int] | None, bool]] = [("", root, None, False)]
     while stack:
-        path, value = stack.pop()
+        path, value, at, item = stack.pop()
         if isinstance(value, dict):
+            if item:
+                at = path, counts.get(path, 0)
+                counts[path] = at[1] + 1
             prefix = path + "." if path else ""
             below = [(prefix + k, v) for k, v in value.items()]
             for name, v in below:
                 if v is not None and not isinstance(v, dict):
                     bits, values = out.get(name, (0, []))
+                    if places and at:
+                        values.extend([None] * (at[1] - len(values)))
+                        below_list[name] = at[0]
                     values.append(plain(v))
                     out[name] = (bits | BIT[kind_of(v)], values)
-            stack.extend((n, v) for n, v in reversed(below) if isinstance(v, (dict, list)))
+            stack.extend((n, v, at, False) for n, v in reversed(below) if isinstance(v, (dict, list)))
         else:
-            stack.extend((path + "[]", v) for v in reversed(value) if isinstance(v, (dict, list)))
+            stack.extend((path + "[]", v, None, True) for v in reversed(value) if isinstance(v, (dict, list)))
+    for name, of in below_list.items():
+        out[name][1].extend([None] * (counts[of] - len(out[name][1])))
     return out

@@ -61,7 +61,12 @@ def p2_scalars(spark, sf_dir):
 
 
 def p3_found(spark, sf_dir):
-    return drift.changes(table(spark, sf_dir, "frontmatters"))
+    return drift.change_log(table(spark, sf_dir, "frontmatters")).select("library_id", "export_no", "change", "old_field", "new_field")
+
+
+def p3_log(spark, sf_dir):
+    """The ordered log of all changes, with the promoted types before and after."""
+    return drift.change_log(table(spark, sf_dir, "frontmatters"))
 
 
 def p3_schema(spark, sf_dir):
@@ -70,11 +75,26 @@ def p3_schema(spark, sf_dir):
 
 
 def p3_unified(spark, sf_dir):
-    """One consistent table over all exports."""
-    return drift.unify(table(spark, sf_dir, "frontmatters"), ["library_id", "export_no", "fm_id"])
+    """One consistent table over all exports, read from the raw source where the exported root is broken."""
+    return drift.unify(table(spark, sf_dir, "frontmatters"), ["library_id", "export_no", "fm_id"], raw=("frontmatter", "fm_format"))
+
+
+def p3_profile(spark, sf_dir):
+    """Of the unified table of all readable roots: type, records and values of every column, and the sum of
+    whole numbers."""
+    wide = drift.unify(table(spark, sf_dir, "frontmatters"), ["fm_id"])
+    kinds = dict(wide.dtypes)
+    rows = []
+    for name in wide.columns[1:]:
+        c, kind = F.col(f"`{name}`"), kinds[name]
+        items = F.filter(c, lambda x: x.isNotNull()) if kind.startswith("array") else F.when(c.isNotNull(), F.array(c))
+        total = F.aggregate(items, F.lit(0).cast("decimal(38,0)"), lambda acc, x: (acc + x).cast("decimal(38,0)")) if "bigint" in kind else F.lit(None).cast("decimal(38,0)")
+        rows.append(F.struct(F.lit(name).alias("field"), F.lit(kind).alias("data_type"), F.size(items).alias("n"), total.alias("total")))
+    long = wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*").where("n > 0")
+    return long.groupBy("field", "data_type").agg(F.count("*").alias("n_records"), F.sum("n").alias("n_values"), F.sum("total").cast("bigint").alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_run_sizes, p1_manifest, p2_found, p2_revisions, p2_entities, p2_scalars, p3_found, p3_schema, p3_unified)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_run_sizes, p1_manifest, p2_found, p2_revisions, p2_entities, p2_scalars, p3_found, p3_log, p3_schema, p3_unified, p3_profile)}
 
 _P1_FILE = """
   SELECT library_id, feed_id, content_hash, arrived_at, coalesce(modified_at, arrived_at) AS changed,
@@ -156,7 +176,7 @@ ORACLE["p3_schema"] = (
     + """SELECT field, CASE t WHEN ['integer'] THEN 'bigint' WHEN ['float'] THEN 'double' WHEN ['float', 'integer'] THEN 'double' WHEN ['boolean'] THEN 'boolean' ELSE 'string' END AS spark_type, records
   FROM (SELECT field, list_sort(list_distinct(flatten(list(types)))) AS t, count(DISTINCT fm_id) AS records FROM held GROUP BY field)"""
 )
-ORACLE["p3_found"] = (
+_CHANGES = (
     _FIELDS
     + """,
 exports AS (SELECT DISTINCT library_id, export_no FROM readable),
@@ -174,9 +194,25 @@ renamed AS (
   FROM diff g JOIN diff n ON n.library_id = g.library_id AND n.export_no = g.export_no AND g.types_now IS NULL AND n.types_before IS NULL
   JOIN latest o ON o.library_id = g.library_id AND o.export_no = g.export_no - 1 AND o.field = g.field
   JOIN latest c ON c.library_id = g.library_id AND c.export_no = g.export_no AND c.field = n.field AND c.file = o.file
-  GROUP BY ALL HAVING count(*) >= 3 AND count(*) FILTER (WHERE o.vals = c.vals) >= 0.8 * count(*))
+  GROUP BY ALL HAVING count(*) >= 3 AND count(*) FILTER (WHERE o.vals = c.vals) >= 0.8 * count(*)),
+found AS (
 SELECT library_id, export_no, 'renamed' AS change, old_field, new_field FROM renamed
 UNION ALL SELECT library_id, export_no, 'removed', field, '' FROM diff d WHERE types_now IS NULL AND NOT EXISTS (SELECT 1 FROM renamed r WHERE r.library_id = d.library_id AND r.export_no = d.export_no AND r.old_field = d.field)
 UNION ALL SELECT library_id, export_no, 'added', '', field FROM diff d WHERE types_before IS NULL AND NOT EXISTS (SELECT 1 FROM renamed r WHERE r.library_id = d.library_id AND r.export_no = d.export_no AND r.new_field = d.field)
-UNION ALL SELECT library_id, export_no, 'retyped', field, field FROM diff WHERE types_now IS NOT NULL AND types_before IS NOT NULL"""
+UNION ALL SELECT library_id, export_no, 'retyped', field, field FROM diff WHERE types_now IS NOT NULL AND types_before IS NOT NULL)"""
+)
+_TYPE = "CASE t WHEN ['integer'] THEN 'bigint' WHEN ['float'] THEN 'double' WHEN ['float', 'integer'] THEN 'double' WHEN ['boolean'] THEN 'boolean' ELSE 'string' END"
+ORACLE["p3_found"] = _CHANGES + " SELECT * FROM found"
+ORACLE["p3_log"] = (
+    _CHANGES
+    + f""", typed AS (SELECT library_id, export_no, field, {_TYPE} AS name FROM (SELECT *, types AS t FROM seen))
+SELECT f.*, o.name AS old_type, n.name AS new_type, row_number() OVER (PARTITION BY f.library_id, f.export_no ORDER BY change, encode(old_field), encode(new_field))::INT AS change_no FROM found f
+LEFT JOIN typed o ON o.library_id = f.library_id AND o.export_no = f.export_no - 1 AND o.field = f.old_field LEFT JOIN typed n ON n.library_id = f.library_id AND n.export_no = f.export_no AND n.field = f.new_field"""
+)
+ORACLE["p3_profile"] = (
+    _FIELDS
+    + f"""SELECT field, CASE WHEN many THEN 'array<' || kind || '>' ELSE kind END AS data_type, n_records, n_values, CASE WHEN kind = 'bigint' THEN total END::BIGINT AS total FROM (
+ SELECT *, {_TYPE} AS kind FROM (
+  SELECT field, list_sort(list_distinct(flatten(list(types)))) AS t, count(*)::BIGINT AS n_records, sum(len(vals))::BIGINT AS n_values, field LIKE '%[]%' OR max(len(vals)) > 1 AS many,
+         sum(list_sum(list_transform(vals, lambda v: try_cast(v AS HUGEINT)))) AS total FROM held GROUP BY field))"""
 )

@@ -198,8 +198,8 @@ def test_changes(spark):
     rows += [r[:1] + (2,) + r[2:] for r in rows[:10] if r[4] in ("f0", "f1")]  # two files are too few for a rename
     df = spark.createDataFrame(rows, FILES)
     found = {tuple(r) for r in drift.changes(df).collect()}
-    assert {x[2:] for x in found if x[0] == 1} == {("renamed", "old", "new"), ("renamed", "l[].x", "l[].y"), ("removed", "gone", ""), ("added", "", "plus"), ("retyped", "t", "t")}
-    assert {x[2:] for x in found if x[0] == 2} == {("removed", "old", ""), ("added", "", "new"), ("removed", "l[].x", ""), ("added", "", "l[].y"), ("removed", "gone", ""), ("added", "", "plus"), ("retyped", "t", "t")}
+    assert {x[2:5] for x in found if x[0] == 1} == {("renamed", "old", "new"), ("renamed", "l[].x", "l[].y"), ("removed", "gone", ""), ("added", "", "plus"), ("retyped", "t", "t")}
+    assert {x[2:5] for x in found if x[0] == 2} == {("removed", "old", ""), ("added", "", "new"), ("removed", "l[].x", ""), ("added", "", "l[].y"), ("removed", "gone", ""), ("added", "", "plus"), ("retyped", "t", "t")}
     assert {tuple(r) for r in drift.changes(df.union(df)).collect()} == found
     assert drift.changes(df.where("false")).count() == 0
     assert drift.change_log(df).where("library_id = 1").agg(F.max("change_no")).first()[0] == 5
@@ -236,8 +236,25 @@ def test_unify_keeps_every_value(spark):
     }
     found = [{k: v for k, v in r.asDict().items() if v is not None and k not in ("id", "l", "g")} for r in sorted(out.collect(), key=lambda r: r["id"])]
     assert found == [
-        {"l[].n": [412, 7], "l[].f": [1.0, 2.5], "l[].b": [True, False], "l[].s": ["x", "[1]"], "l[].m": ['["1"]'], "g[][].c": [1, 2], "a.b": [1, 2]},
+        {"l[].n": [412, 7], "l[].f": [1.0, 2.5], "l[].b": [True, False], "l[].s": ["x", "[1]"], "l[].m": ['["1"]', None], "g[][].c": [1, 2], "a.b": [1, 2]},
         {"l[].n": [-1], "a.b": [3], "big": 2**63, "huge": long, "mixed": str(2**53 + 1), "whole": 5, "far": "1e400", "tiny": "1e-400"},
         {"big": -(10**37), "huge": "1", "mixed": "0.5", "whole": 2**63 - 1, "far": "1.0", "tiny": "0.0"},
         {},
     ]
+
+
+def test_unify_keeps_places(spark):
+    """Which object of a list lacks a field; lists in lists; an object below an object of a list."""
+    roots = ['{"c": [{"n": "a", "r": "x"}, {"n": "b"}, {"n": "c", "r": "z", "d": {"e": 1}}], "g": [[{"c": 1}], [{"k": 0}, {"c": 2}]]}', '{"c": [{"n": "q"}, 5, {"r": "y"}]}']
+    out = [r.asDict() for r in drift.unify(spark.createDataFrame(list(enumerate(roots)), "id int, root string"), ["id"]).orderBy("id").collect()]
+    assert (out[0]["c[].n"], out[0]["c[].r"], out[0]["c[].d.e"], out[0]["g[][].c"], out[0]["g[][].k"]) == (["a", "b", "c"], ["x", None, "z"], [None, None, 1], [1, None, 2], [None, 0, None])
+    assert (out[1]["c[].n"], out[1]["c[].r"], out[1]["c[].d.e"]) == (["q", None], [None, "y"], None)
+
+
+def test_unify_reads_the_raw_source(spark):
+    rows = [(1, '{"a": 1}', "a: 9", "yaml"), (2, '{"a": ', "a: 2\nb: x", "yaml"), (3, None, 'a = 1.5', "toml"), (4, None, "a: [", "yaml"), (5, None, None, None), (6, "[]", "{}", "json")]
+    df = spark.createDataFrame(rows, "id int, root string, front string, kind string")
+    out = drift.unify(df, ["id"], raw=("front", "kind"))
+    assert dict(out.dtypes) == {"id": "int", "read_from": "string", "a": "double", "b": "string"}
+    assert sorted(map(tuple, out.collect())) == [(1, "root", 1.0, None), (2, "raw", 2.0, "x"), (3, "raw", 1.5, None), (6, "raw", None, None)]
+    assert {r["id"]: r["values"] for r in drift.as_map(df, ["id"]).collect()} == {1: {"a": ["1"]}}
