@@ -261,7 +261,34 @@ def s2_limits(spark, sf_dir):
     return lib.docs.select("doc_id", F.col("parse_error").isNotNull().alias("marked")).join(some, "doc_id", "left").select("doc_id", "marked", F.coalesce("p", F.lit(False)).alias("parsed"))
 
 
-@_query()
+#: The stored entries without their fenced code, and their headings found by patterns.
+_HEADINGS = r"""
+WITH codes AS (SELECT entry_id, list(content ORDER BY block_no) AS contents FROM code_blocks GROUP BY 1),
+plain AS (SELECT e.entry_id, replace(list_reduce(list_prepend(document, coalesce(contents, [])), lambda acc, x: CASE WHEN x = '' THEN acc ELSE replace(acc, x, '') END), chr(13), '') AS t FROM entries e LEFT JOIN codes USING (entry_id)),
+found AS (
+ SELECT entry_id, unnest(list_transform(regexp_extract_all(chr(10) || replace(t, chr(10), chr(10) || chr(10)), '\n {0,3}(#{1,6})(?:[ \t][^\n]*)?(?:\n|$)', 1), lambda h: len(h)))::INT AS level FROM plain
+ UNION ALL SELECT entry_id, unnest(list_transform(regexp_extract_all(t, '(?:^|\n)[A-Za-z][^\n]*\n {0,3}(=+|-+)[ \t]*(?:\n|$)', 1), lambda h: CASE WHEN h[1] = '=' THEN 1 ELSE 2 END))::INT FROM plain)
+"""
+
+
+@_query(_HEADINGS + "SELECT entry_id, level, count(*)::BIGINT AS n FROM found GROUP BY ALL")
+def parse_entries_headings(spark, sf_dir):
+    """Headings of every stored entry by level, against patterns over its text without code."""
+    rows = parsing.nodes(spread(table(spark, sf_dir, "entries")), "entry_id", "document", "blocks", skip_frontmatter=False, kinds=["heading"])
+    return rows.groupBy("entry_id", "level").agg(F.count("*").alias("n"))
+
+
+@_query(_HEADINGS + """SELECT e.entry_id, (SELECT count(*) FROM found f WHERE f.entry_id = e.entry_id)::BIGINT + len(regexp_extract_all(regexp_replace(p.t, '`[^`\n]*`', '', 'g'), '<h[1-6]>'))::BIGINT AS n_headings,
+ (SELECT count(*) FROM code_blocks b WHERE b.entry_id = e.entry_id AND language IS NOT NULL)::BIGINT AS n_code FROM entries e JOIN plain p USING (entry_id)""")
+def r1_elements(spark, sf_dir):
+    """Headings and code with a language in the HTML of every entry."""
+    html = rendering.render(F.col("document"), "html")
+    count = lambda pattern: F.size(F.regexp_extract_all("h", F.lit(pattern), 0)).cast("bigint")
+    rows = spread(table(spark, sf_dir, "entries")).select("entry_id", html.alias("h"))
+    return rows.select("entry_id", count("<h[1-6]>").alias("n_headings"), count('<pre><code class="language-').alias("n_code"))
+
+
+@_query(_HEADINGS + "SELECT level, count(*)::BIGINT AS n FROM found GROUP BY ROLLUP (level)")
 def agg_levels(spark, sf_dir):
     """Headings per level and in all: sums per section with a separate total."""
     rows = parsing.nodes(spread(table(spark, sf_dir, "entries")), "entry_id", "document", "blocks", skip_frontmatter=False, kinds=["heading"])
