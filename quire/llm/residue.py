@@ -90,6 +90,66 @@ def restore(text: str, kept: list[str]) -> str:
     return text
 
 
+# Elements that need no closing tag.
+UNCLOSED = frozenset("area base basefont body br col colgroup dd dt frame head hr html img input li link meta optgroup option p param rp rt source tbody td tfoot th thead tr track wbr".split())
+_BARE_TAG = re.compile(r"<([A-Za-z][A-Za-z0-9]*)>")
+_CLOSING = re.compile(r"</([A-Za-z][A-Za-z0-9]*)")
+
+
+def _tag_test(text: str):
+    """Whether a match of TAG in this text is a tag: one that is glued to a word, as type parameters
+    are (``Vec<i>``), is none if it has no attributes and nothing closes it."""
+    closed: set[str] | None = None
+
+    def is_tag(m: re.Match) -> bool:
+        nonlocal closed
+        at = m.start()
+        if not at or not (text[at - 1].isalnum() or text[at - 1] == "_"):
+            return True
+        bare = _BARE_TAG.fullmatch(m[0])
+        if not bare or bare[1].lower() in UNCLOSED:
+            return True
+        if closed is None:
+            closed = {name.lower() for name in _CLOSING.findall(text)}
+        return bare[1].lower() in closed
+
+    return is_tag
+
+
+def _has_tag(text: str) -> bool:
+    return any(map(_tag_test(text), TAG.finditer(text)))
+
+
+def _without_tags(text: str) -> str:
+    is_tag = _tag_test(text)
+    return TAG.sub(lambda m: "" if is_tag(m) else m[0], text)
+
+
+def _nested(text: str, opening: str, closing: str, make) -> str:
+    """Rewrites pairs of marks from the inside out, however deep, in one pass.
+
+    ``make(inside, next character)`` gives the new text, or None to leave the pair as it is.
+    """
+    if opening not in text:
+        return text
+    stack: list[list[str]] = [[]]
+    parts = re.split(f"({re.escape(opening)}|{re.escape(closing)})", text)
+    for i, part in enumerate(parts):
+        if part == opening:
+            stack.append([])
+        elif part == closing and len(stack) > 1:
+            inside = "".join(stack.pop())
+            new = make(inside, parts[i + 1][:1])
+            stack[-1].append(opening + inside + closing if new is None else new)
+        else:
+            stack[-1].append(part)
+    out = stack[0]
+    for unclosed in stack[1:]:
+        out.append(opening)
+        out.extend(unclosed)
+    return "".join(out)
+
+
 def _has_reference(text: str) -> bool:
     return any(m[0][1] == "#" or m[0][1:] in html.entities.html5 for m in REFERENCE.finditer(text))
 
@@ -109,7 +169,7 @@ def entry_kinds(text: str) -> list[str]:
     text, _ = protect(text)
     out = []
     angle = "<" in text
-    if (angle and (TAG.search(text) or COMMENT.search(text))) or ("&" in text and _has_reference(text)):
+    if (angle and (_has_tag(text) or COMMENT.search(text))) or ("&" in text and _has_reference(text)):
         out.append("html")
     if (
         ("[[" in text and WIKI_LINK.search(text))
@@ -156,7 +216,7 @@ def block_kinds(content: str, language: str | None) -> list[str]:
     wiki_tag = angle and SOURCE_TAG.search(content)
     if own not in OWN["html"]:
         bare = SOURCE_TAG.sub("", content) if wiki_tag else content
-        if (angle and (TAG.search(bare) or COMMENT.search(bare))) or ("&" in bare and _has_reference(bare)):
+        if (angle and (_has_tag(bare) or COMMENT.search(bare))) or ("&" in bare and _has_reference(bare)):
             out.append("html")
     if own not in OWN["wiki"] and (
         wiki_tag
@@ -198,7 +258,7 @@ def _from_html(text: str) -> str:
     text = re.sub(r"<hr\b[^>]*>", "\n\n", text, flags=re.I)
     text = re.sub(r"<img\b[^>]*\balt\s*=\s*[\"']([^\"']*)[\"'][^>]*>", r"\1", text, flags=re.I)
     text = re.sub(r"</?(?:p|div|ul|ol|table|tbody|thead|section|article|blockquote|dl|dt|dd|details|summary)\b[^>]*>\n?", "\n\n", text, flags=re.I)
-    return REFERENCE.sub(_reference_text, TAG.sub("", text))
+    return REFERENCE.sub(_reference_text, _without_tags(text))
 
 
 def _wiki_table(m: re.Match) -> str:
@@ -216,14 +276,21 @@ def _wiki_table(m: re.Match) -> str:
     return "\n".join("| " + " | ".join(r) + " |" for r in rows)
 
 
-def _wiki_template(m: re.Match) -> str:
-    parts = [p.strip() for p in m[0][2:-2].split("|")]
+_TEMPLATE_NAME = re.compile(r"[ \t]*[#:\w]")
+
+
+def _wiki_template(inside: str, _: str) -> str | None:
+    if not _TEMPLATE_NAME.match(inside) or "{" in inside or "}" in inside:
+        return None
+    parts = [p.strip() for p in inside.split("|")]
     named = [p.split("=", 1) for p in parts[1:] if "=" in p]
     return "; ".join(f"{k.strip()}: {v.strip()}" for k, v in named) if named else " ".join(parts[1:])
 
 
-def _wiki_link(m: re.Match) -> str:
-    target, _, label = m[1].partition("|")
+def _wiki_link(inside: str, following: str) -> str | None:
+    if not inside or "\n" in inside or "[" in inside or "]" in inside or following == "(":
+        return None
+    target, _, label = inside.partition("|")
     if re.match(r"\s*(?:File|Image|Media):", target, re.I):
         return label.rsplit("|", 1)[-1].strip()
     if re.match(r"\s*Category:", target, re.I):
@@ -237,14 +304,58 @@ def _from_wiki(text: str) -> str:
     text = re.sub(r"<math\b[^>]*>(.*?)</math\s*>", r"$\1$", text, flags=re.I | re.S)
     text = WIKI_TAG.sub("", WIKI_TABLE.sub(_wiki_table, text))
     text = WIKI_HEADING.sub(lambda m: f"{'#' * len(m[1])} {m[2].strip()}", text)
-    for _ in range(5):  # templates inside templates, from the inside out
-        text, n = WIKI_TEMPLATE.subn(_wiki_template, text)
-        if not n:
-            break
-    return WIKI_QUOTES.sub(r"\2", WIKI_QUOTES.sub(r"\2", WIKI_URL.sub(r"\2", WIKI_LINK.sub(_wiki_link, text))))
+    text = _nested(text, "{{", "}}", _wiki_template)
+    return WIKI_QUOTES.sub(r"\2", WIKI_QUOTES.sub(r"\2", WIKI_URL.sub(r"\2", _nested(text, "[[", "]]", _wiki_link))))
+
+
+_TEX_WORDS = re.compile(r"\\(?:text\w{2,}|emph|underline|uline|mbox|footnote|caption|title|author|date|mathrm)\*?$")
+_BRACE_LEAD = re.compile(r"\\[A-Za-z]{2,}\*?$")
+
+
+def _unwrap(text: str, wanted: re.Pattern) -> str:
+    """Commands whose name is wanted give way to what their braces hold, however deep, in one pass."""
+    stack: list[list[str]] = [[]]
+    for part in re.split(r"([{}])", text):
+        if part == "{":
+            stack.append([])
+        elif part == "}" and len(stack) > 1:
+            inside = "".join(stack.pop())
+            before = stack[-1][-1] if stack[-1] else ""
+            m = wanted.search(before) if before.rfind("\\") >= 0 else None
+            if m:
+                stack[-1][-1] = before[: m.start()]
+                stack[-1].append(inside)
+            else:
+                stack[-1].append("{" + inside + "}")
+        else:
+            stack[-1].append(part)
+    out = stack[0]
+    for unclosed in stack[1:]:
+        out.append("{")
+        out.extend(unclosed)
+    return "".join(out)
+
+
+def _keep_formulas(text: str, kept: list[str]) -> str:
+    """Formulas as numbered marks, for steps that must not touch them."""
+
+    def keep(m):
+        kept.append(m[0])
+        return f"\x01{len(kept) - 1}\x01"
+
+    if "$" in text:
+        text = TEX_MATH.sub(lambda m: keep(m) if _is_math(m) else m[0], text)
+    return TEX_PAREN.sub(lambda m: keep(m) if _is_paren_math(m) else m[0], text) if "\\" in text else text
 
 
-def _from_latex(text: str) -> str:
+def _put_formulas(text: str, kept: list[str]) -> str:
+    while "\x01" in text:  # a formula in parentheses may hold one in dollars
+        text = re.sub("\x01(\\d+)\x01", lambda m: kept[int(m[1])], text)
+    return text
+
+
+def _from_latex(text: str, formulas: list[str]) -> str:
+    """Formulas end up in ``formulas``, with marks in their places."""
     text = re.sub(r"\\(chapter|section|subsection|subsubsection|paragraph)\*?\{([^{}]*)\}", lambda m: f"{'#' * {'chapter': 1, 'section': 2, 'subsection': 3}.get(m[1], 4)} {m[2]}", text)
     text = re.sub(r"\\begin\{(equation|align|displaymath|gather|eqnarray)\*?\}(.*?)\\end\{\1\*?\}", lambda m: f"$$ {m[2].strip()} $$", text, flags=re.S)
     text = re.sub(r"\\begin\{(verbatim|lstlisting|minted)\}(?:\[[^\[\]\n]*\])?(?:\{[^}\n]*\})?\n?(.*?)\\end\{\1\}", lambda m: "\n```\n" + m[2].rstrip("\n") + "\n```\n", text, flags=re.S)
@@ -253,21 +364,7 @@ def _from_latex(text: str) -> str:
     text = re.sub(r"\\(?:cite|ref|label|pageref|footnotemark|vspace|hspace|includegraphics|input|usepackage|documentclass)\*?(?:\[[^\[\]\n]*\])?\{[^{}]*\}", "", text)
     text = re.sub(r"\\texttt\{([^{}]*)\}", r"`\1`", text)
     text = re.sub(r"\\href\{[^{}]*\}\{([^{}]*)\}", r"\1", text)
-    math: list[str] = []
-
-    def keep(m):
-        math.append(m[0])
-        return f"\x01{len(math) - 1}\x01"
-
-    text = re.sub(r"\$\$.+?\$\$|(?<![\\$\w])\$[^$\n]+\$", keep, text, flags=re.S)
-    text = TEX_PAREN.sub(keep, text)
-    for _ in range(5):
-        text, n = re.subn(r"\\(?:text\w{2,}|emph|underline|uline|mbox|footnote|caption|title|author|date|mathrm)\*?\{([^{}]*)\}", r"\1", text)
-        if not n:
-            break
-    for _ in range(2):  # a formula in parentheses may hold one in dollars
-        text = re.sub("\x01(\\d+)\x01", lambda m: math[int(m[1])], text)
-    return text
+    return _unwrap(_keep_formulas(text, formulas), _TEX_WORDS)
 
 
 def _from_markdown(text: str) -> str:
@@ -283,29 +380,41 @@ def _from_markdown(text: str) -> str:
 def clean_entry(text: str) -> str:
     """The text without foreign markup and inline Markdown marks; headings, lists, tables, code and
     formulas stay. Line ends become LF, runs of blank lines one blank line."""
-    text, kept = protect(text.replace("\r\n", "\n").replace("\r", "\n"))
+    text, kept = protect(text.replace("\r\n", "\n").replace("\r", "\n").replace("\x01", "\ufffd"))
+    formulas: list[str] = []
     if "<" in text or "&" in text:
         text = _from_html(_from_wiki(text))
     else:
         text = _from_wiki(text)
-    if "\\" in text:
-        text = _from_latex(text)
-    text = restore(_from_markdown(text), kept)
+    text = _from_latex(text, formulas) if "\\" in text else _keep_formulas(text, formulas)
+    text = restore(_put_formulas(_from_markdown(text), formulas), kept)
     return _BLANKS.sub("\n\n", "\n".join(x.rstrip() for x in text.split("\n"))).strip("\n")
 
 
+def _template_code(inside: str) -> str:
+    """What a template around code holds: its last positional or ``code`` argument."""
+    return re.sub(r"\A[ \t]*(?:1|code)[ \t]*=", "", inside.partition("|")[2]).strip("\n")
+
+
 def clean_block(content: str, language: str | None) -> str:
     """The code of a block without what a rendered or converted page left in it."""
     for kind in block_kinds(content, language):
         if kind == "html":
-            content = REFERENCE.sub(_reference_text, TAG.sub("", COMMENT.sub("", re.sub(r"<br\b[^>]*>(?:\r?\n)?", "\n", content, flags=re.I))))
+            content = REFERENCE.sub(_reference_text, _without_tags(COMMENT.sub("", re.sub(r"<br\b[^>]*>(?:\r?\n)?", "\n", content, flags=re.I))))
         elif kind == "wiki":
             content = SOURCE_TAG.sub("", content)
             content = re.sub(r"\A\s*\{\{[ \t]*[A-Za-z][\w ]*\|(?:1=|code=)?\n?(.*?)\n?\}\}\s*\Z", r"\1", content, flags=re.S)
+            content = _nested(content, "{{", "}}", lambda inside, _: _template_code(inside) if BLOCK_TEMPLATE.match("{{" + inside) else None)
             content = BLOCK_WIKI_LINK.sub("", content)
+            if "|}" in content:
+                content = WIKI_TABLE.sub(_wiki_table, content)
+            content = WIKI_HEADING.sub(lambda m: m[2].strip() if len(m[1]) > 1 else m[0], content)
         elif kind == "latex":
             content = re.sub(r"^[ \t]*\\(?:begin|end)\{\w+\*?\}(?:\[[^\[\]\n]*\])?[ \t]*\n?", "", content, flags=re.M)
-            content = re.sub(r"^\\text\w+\{(.*)\}[ \t]*(?:\\\\)?[ \t]*$", r"\1", content, flags=re.M)
+            content = re.sub(r"^\\text\w+\{(.*)\}[ \t]*(?:\\\\)?[ \t]*(\r?)$", r"\1\2", content, flags=re.M)
+            content = re.sub(r"\\verb\*?([|!+])([^\n]*?)\1", r"\2", content)
+            content = re.sub(r"\{\\(?:tt|bf|it|em|sf|sc)\b[ \t]*([^{}\n]*)\}", r"\1", content)
+            content = _unwrap(re.sub(r"(?<![\w\\])(\\[A-Za-z]{2,}\*?)\[[^\[\]\n]*\](?=\{)", r"\1", content), _BRACE_LEAD)
         else:
             if _quoted(content):
                 content = re.sub(r"^ {0,3}> ?", "", content, flags=re.M)

@@ -113,6 +113,26 @@ def test_cleaning():
     assert residue.clean_block("\\begin{verbatim}\nx\n\\end{verbatim}", "sql") == "x" and residue.clean_block("> a\n>   b", "go") == "a\n  b" and residue.clean_block("~~~\nx\n~~~", None) == "x" and residue.clean_block("{{code|1=x\n}}", None) == "x"
 
 
+@pytest.mark.parametrize(
+    "dirty, clean",
+    [
+        ("$x^*$ and $y^*$", "$x^*$ and $y^*$"), ("$$ a *b* c $$", "$$ a *b* c $$"), ("$a_1$ is _one_, \\(b_2*c*d^2\\)", "$a_1$ is one, \\(b_2*c*d^2\\)"), ("costs $5 *now* or $6", "costs $5 now or $6"),
+        ("Vec<i> and Map<object>", "Vec<i> and Map<object>"), ("Vec<i> and a<b>c</b>", "Vec<i> and ac"), ("x<br>y", "x\ny"), ("{{A|{{B|{{C|{{D|{{E|{{F|deep}}}}}}}}}}}}", "deep"),
+        ("[[File:x.png|thumb|see [[a|b]] or [[c]]]]", "see b or c"), ("[[a]](b) [[]]", "[[a]](b) [[]]"), ("\\textbf{a \\emph{b \\textit{c \\uline{d \\mbox{e \\textsf{f}}}}}} {g}", "a b c d e f {g}"), ("a\x01b", "a\ufffdb"),
+    ],
+)
+def test_cleaning_keeps_meaning(dirty, clean):
+    assert residue.clean_entry(dirty) == clean
+
+
+@pytest.mark.parametrize("content, language, clean", [
+    ("== Usage ==\nx = 1", "py", "Usage\nx = 1"), ("{| class=x\n|-\n| a || b\n|}", None, "| a | b |"), ("y\n{{code|1=x}}\nz", "sql", "y\nx\nz"), ("\\verb|a_b| {\\tt c}", "c", "a_b c"),
+    ("\\section{a \\textbf{b}} f{x}", "c", "a b f{x}"), ("let v: Vec<i> = f();", "rust", "let v: Vec<i> = f();"), ("Map<object> m; a &lt; b", "java", "Map<object> m; a < b"),
+])
+def test_cleaning_of_blocks(content, language, clean):
+    assert residue.clean_block(content, language) == clean and not residue.block_kinds(clean, language)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>b/[]{}|'=\\$&;a \n`~#!-:", max_size=80))
 def test_residue_never_raises(text):
@@ -192,7 +212,7 @@ def test_word_pattern():
     assert re.findall(reading.WORD, "l'école 7 a_b") == ["l", "école", "a", "b"]
 
 
-@pytest.mark.parametrize("unit", ["<a b ", "[[", "{{a", "<!--", "\\(", "''a ", "\\ab[", "`a\n", "$a ", "&a", "```\n"])
+@pytest.mark.parametrize("unit", ["{{a|b}}", "a{{a|", "\\emph{a", "x<b>",  "<a b ", "[[", "{{a", "<!--", "\\(", "''a ", "\\ab[", "`a\n", "$a ", "&a", "```\n"])
 def test_hostile_texts_take_no_long_time(unit):
     import time
 
