@@ -5,14 +5,17 @@ The stages, none of which gathers the collection in one place:
 1. one pass over the texts makes, per document, a digest of its shingle set, the set's size, MinHash
    band keys and a vector of group counts (shingles hashed into ``GROUPS`` groups);
 2. documents with the same set collapse into one representative;
-3. representatives that share a band key meet in a bucket. The overlap of two sets is at most the
-   sum of the coordinate-wise minima of their group counts, so in buckets of three or more, pairs
-   that cannot reach the threshold drop out; above ``CountTree.FANOUT`` members, and between
+3. representatives that share a band key meet in a bucket; buckets with the same members are one. The
+   overlap of two sets is at most the sum of the coordinate-wise minima of their group counts, and pairs
+   that cannot reach the threshold by it drop out. Above ``CountTree.FANOUT`` members, and between
    chunks, the counts are points in an R-tree, where the same sum with a node's maxima bounds all
-   its points and drops whole subtrees. A bucket of two gives its pair unchecked;
+   its points and drops whole subtrees; a smaller bucket is one leaf of it;
 4. the surviving pairs are verified on the complete shingle sets.
 
-A bucket of any size is dealt into chunks, and pairs of chunks are separate units of work.
+A bucket of any size is dealt into chunks, and pairs of chunks are separate units of work. ``links``
+gives every pair of classes; ``grouped`` needs the groups only: it verifies each bucket's members
+against one of them, and then such pairs alone as are still in different groups, so a large group of
+near copies costs its size and not its square.
 An R-tree alone cannot carry the search: vectors of unrelated texts are alike enough that inner
 nodes prune nothing, which makes it quadratic in the collection (figures in the README). Bands are
 chosen so that a pair at the threshold is missed with probability below ``MISS``.
@@ -34,7 +37,6 @@ from quire.runtime import materialize
 GROUPS, ROWS, MISS, CHUNK = 64, 3, 1e-5, 512
 WORD = re.compile(r"[^\W_]+")
 _U = np.uint64
-_FULL = 65535
 
 
 def bands_for(similarity: float) -> int:
@@ -95,10 +97,16 @@ def _signer(bands: int):
     return sign
 
 
-def group_counts(h: np.ndarray) -> np.ndarray:
-    """The point of a shingle set; a set too large for 16-bit counts gets a point that bounds nothing."""
+def group_counts(h: np.ndarray) -> bytes:
+    """The point of a shingle set, 16 bits a count, or 32 where a set is too large for that."""
     c = np.bincount((h & _U(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-    return (np.full(GROUPS, _FULL) if c.max() >= _FULL else c).astype(np.uint16)
+    return c.astype(np.uint16 if c.max() < 1 << 16 else np.uint32).tobytes()
+
+
+def _points(counts: list[bytes]) -> np.ndarray:
+    if all(len(c) == 2 * GROUPS for c in counts):
+        return np.frombuffer(b"".join(counts), np.uint16).reshape(-1, GROUPS)
+    return np.array([np.frombuffer(c, np.uint16 if len(c) == 2 * GROUPS else np.uint32) for c in counts], np.uint32).reshape(-1, GROUPS)
 
 
 def features(df: DataFrame, id_col: str, text_col: str, words: int, similarity: float, min_words: int) -> DataFrame:
@@ -118,7 +126,7 @@ def features(df: DataFrame, id_col: str, text_col: str, words: int, similarity:
                 digest.append(xxhash.xxh3_128_digest(h.tobytes()))
                 size.append(len(h))
                 keys.append(sign(h))
-                counts.append(group_counts(h).tobytes())
+                counts.append(group_counts(h))
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands, pa.int32())
             yield pa.RecordBatch.from_arrays(
@@ -178,20 +186,53 @@ def _near(left: np.ndarray, right: np.ndarray, same: bool, points: np.ndarray, s
     return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, int), np.zeros(0, int))
 
 
-def candidates(reps: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs (a < b) of representatives that share a band and pass the count bound."""
+def buckets_of(reps: DataFrame) -> DataFrame:
+    """(key, n, a, b) of each set of members that share a band: its size, least and greatest member.
+
+    Near copies share many bands; of the buckets with the same members (by a 128-bit hash of them) one
+    stays.
+    """
+    met = reps.select("id", F.explode("bands").alias("key"))
+    same = [F.bit_xor(F.xxhash64(F.lit(salt), "id")).alias(f"x{salt}") for salt in (1, 2)]
+    found = met.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), *same).where("a < b")
+    return materialize(found.groupBy("n", "a", "b", "x1", "x2").agg(F.min("key").alias("key")).select("key", "n", "a", "b"), "neardup-buckets")
+
+
+def bounded(near: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (a, b) whose group counts let them reach the similarity."""
+    kind, share = reps.schema["id"].dataType.simpleString(), similarity / (1 + similarity)
+    both = near
+    for c in ("a", "b"):
+        both = both.join(reps.select(F.col("id").alias(c), F.col("size").alias(f"_n{c}"), F.col("counts").alias(f"_c{c}")), c)
+
+    def keep(batches):
+        for batch in batches:
+            if batch.num_rows:
+                size = batch.column(2).to_numpy().astype(np.int64) + batch.column(4).to_numpy()
+                overlap = np.minimum(_points(batch.column(3).to_pylist()), _points(batch.column(5).to_pylist())).sum(1, dtype=np.int64)
+                batch = batch.filter(pa.array(overlap >= share * size - 1e-9))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"])
+
+    return both.select("a", "b", "_na", "_ca", "_nb", "_cb").mapInArrow(keep, f"a {kind}, b {kind}")
+
+
+def candidates(reps: DataFrame, similarity: float, buckets: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Distinct pairs (a < b) of representatives that share a bucket and pass the count bound.
+
+    With ``labels`` (id, label) only pairs with different labels; buckets of two are left out then.
+    """
     kind = reps.schema["id"].dataType.simpleString()
     share = similarity / (1 + similarity)
     met = reps.select("id", F.explode("bands").alias("key"))
-    buckets = met.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n > 1")
-    buckets = materialize(buckets, "neardup-buckets")
-    two = buckets.where("n = 2 and a < b").select("a", "b").distinct()
+    members = reps.select("id", "size", "counts")
+    members = members.withColumn("label", F.lit(0).cast("bigint")) if labels is None else members.join(labels, "id")
 
     # Larger buckets: members dealt into chunks, one unit of work (cell) for each pair of chunks.
-    more = met.join(buckets.where("n > 2").select("key", "n"), "key").join(reps.select("id", "size", "counts"), "id")
+    more = met.join(buckets.where("n > 2").select("key", "n"), "key").join(members, "id")
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     more = more.withColumn("c", F.pmod(F.xxhash64("id"), chunks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    more = more.select("key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "id", "size", "counts")
+    more = more.select("key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "id", "size", "counts", "label")
+    unlike = labels is not None
 
     def pairs(batches):
         def solve(rows: pa.Table):
@@ -199,7 +240,8 @@ def candidates(reps: DataFrame, similarity: float) -> DataFrame:
             ids = cols["id"]
             key, i, j, c = (cols[n].to_numpy(zero_copy_only=False) for n in ("key", "i", "j", "c"))
             sizes = cols["size"].to_numpy(zero_copy_only=False).astype(np.int64)
-            points = np.frombuffer(b"".join(cols["counts"].to_pylist()), np.uint16).reshape(-1, GROUPS)
+            points = _points(cols["counts"].to_pylist())
+            label = cols["label"].to_numpy()
             edges = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True])))
             left, right = [], []
             for s, e in zip(edges[:-1], edges[1:]):
@@ -211,7 +253,11 @@ def candidates(reps: DataFrame, similarity: float) -> DataFrame:
                     x, y = _near(rows_here[first], rows_here[~first], False, points, sizes, share)
                 left.append(x)
                 right.append(y)
-            x, y = ids.take(pa.array(np.concatenate(left))), ids.take(pa.array(np.concatenate(right)))
+            x, y = np.concatenate(left), np.concatenate(right)
+            if unlike:
+                apart = label[x] != label[y]
+                x, y = x[apart], y[apart]
+            x, y = ids.take(pa.array(x)), ids.take(pa.array(y))
             table = pa.table([x, y], ["a", "b"])
             import pyarrow.compute as pc
 
@@ -233,8 +279,11 @@ def candidates(reps: DataFrame, similarity: float) -> DataFrame:
             yield from solve(held)
 
     grouped = more.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    many = grouped.mapInArrow(pairs, f"a {kind}, b {kind}")
-    return two.unionByName(many.where("a < b")).distinct()
+    many = grouped.mapInArrow(pairs, f"a {kind}, b {kind}").where("a < b")
+    if unlike:
+        return many.distinct()
+    two = bounded(buckets.where("n = 2").select("a", "b").distinct(), reps, similarity)
+    return two.unionByName(many).distinct()
 
 
 def shingle_sets(df: DataFrame, text_col: str, words: int, min_words: int) -> DataFrame:
@@ -256,25 +305,19 @@ def shingle_sets(df: DataFrame, text_col: str, words: int, min_words: int) -> Da
     return df.select(text_col).mapInArrow(run, "digest binary, set array<bigint>")
 
 
-def links(df: DataFrame, id_col: str, text_col: str, words: int = 5, similarity: float = 0.8, min_words: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(members, links): (id, class_id, class_no) for every document and shingle set it has, and
-    (a, b, similarity) between the numbers of classes.
-
-    A class holds the documents with the same shingle set, ``class_id`` is the least of them and
-    ``class_no`` its own number, as classes of an identifier with several texts may have the same
-    least one; links join different classes whose Jaccard similarity reaches the threshold. Null texts, and texts under
-    ``min_words`` or ``words`` words, are in no class; rows without an identifier are left out. A row
-    that occurs twice counts once; one identifier with several texts is linked by any of them. An
-    empty table gives two empty ones.
-    """
-    df = df.where(F.col(id_col).isNotNull())
+def _classes(df: DataFrame, id_col: str, text_col: str, words: int, similarity: float, min_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes, members, representatives) of the texts; see ``links``."""
     found = materialize(features(df, id_col, text_col, words, similarity, min_words), "neardup")
     classes = found.groupBy("digest").agg(F.min("id").alias("class_id")).withColumn("class_no", F.monotonically_increasing_id())
     classes = materialize(classes, "neardup-classes")
     members = found.select("id", "digest").join(classes, "digest").select("id", "class_id", "class_no").distinct()
-    members = materialize(members, "neardup-members")
-    reps = found.join(classes.withColumnRenamed("class_id", "id"), ["id", "digest"]).drop("id", "digest").withColumnRenamed("class_no", "id")
-    near = materialize(candidates(reps, similarity), "neardup-candidates")
+    reps = found.join(classes.withColumnRenamed("class_id", "id"), ["id", "digest"]).dropDuplicates(["class_no"]).drop("id", "digest").withColumnRenamed("class_no", "id")
+    return classes, materialize(members, "neardup-members"), reps
+
+
+def _verified(near: DataFrame, classes: DataFrame, df: DataFrame, id_col: str, text_col: str, words: int, similarity: float, min_words: int) -> DataFrame:
+    """(a, b, similarity) of the candidate pairs that reach the similarity on their complete sets."""
+    near = materialize(near, "neardup-candidates")
     wanted = near.select(F.col("a").alias("class_no")).union(near.select("b")).distinct().join(classes, "class_no")
     wanted = materialize(wanted, "neardup-wanted")
     sets = shingle_sets(df.join(wanted.select(F.col("class_id").alias("_w")), df[id_col] == F.col("_w"), "left_semi"), text_col, words, min_words)
@@ -286,7 +329,46 @@ def links(df: DataFrame, id_col: str, text_col: str, words: int = 5, similarity:
     shared = F.size(F.array_intersect("_a", "_b"))
     union = F.size("_a") + F.size("_b") - F.col("_s")
     verified = both.withColumn("_s", shared).select("a", "b", (F.col("_s") / union).alias("similarity")).where(F.col("similarity") >= similarity)
-    return members, verified.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    return verified.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+
+
+def links(df: DataFrame, id_col: str, text_col: str, words: int = 5, similarity: float = 0.8, min_words: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(members, links): (id, class_id, class_no) for every document and shingle set it has, and
+    (a, b, similarity) between the numbers of classes.
+
+    A class holds the documents with the same shingle set, ``class_id`` is the least of them and
+    ``class_no`` its own number, as classes of an identifier with several texts may have the same
+    least one; links join different classes whose Jaccard similarity reaches the threshold. Null texts, and texts under
+    ``min_words`` or ``words`` words, are in no class; rows without an identifier are left out. A row
+    that occurs twice counts once; one identifier with several texts is linked by any of them. An
+    empty table gives two empty ones.
+    """
+    df = df.where(F.col(id_col).isNotNull())
+    classes, members, reps = _classes(df, id_col, text_col, words, similarity, min_words)
+    near = candidates(reps, similarity, buckets_of(reps))
+    return members, _verified(near, classes, df, id_col, text_col, words, similarity, min_words)
+
+
+def grouped(df: DataFrame, id_col: str, text_col: str, words: int = 5, similarity: float = 0.8, min_words: int = 1) -> DataFrame:
+    """(id, class_id, group_id): the connected groups of ``links`` without its pairs, one row per document.
+
+    First each bucket's members are verified against the least of them. Pairs that are then in one group
+    already cannot change it, so only pairs of different groups are looked at after that, in the buckets
+    that hold such. Cases are as in ``links`` and ``groups``.
+    """
+    df = df.where(F.col(id_col).isNotNull())
+    classes, members, reps = _classes(df, id_col, text_col, words, similarity, min_words)
+    how = (classes, df, id_col, text_col, words, similarity, min_words)
+    met, buckets = reps.select("id", F.explode("bands").alias("key")), buckets_of(reps)
+    stars = met.join(buckets, "key").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")).distinct()
+    first = materialize(_verified(bounded(stars, reps, similarity), *how), "neardup-stars")
+    root = _roots(first.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    labels = reps.select("id").join(root.withColumnRenamed("_c", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("label"))
+    labels = materialize(labels, "neardup-labels")
+    open_keys = met.join(buckets.where("n > 2").select("key"), "key").join(labels, "id").groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("key")
+    second = _verified(candidates(reps, similarity, buckets.join(open_keys, "key", "left_semi"), labels), *how)
+    edges = materialize(first.unionByName(second), "neardup-links")
+    return _group_of(_by_class(members), edges)[3].select("id", "class_id", "group_id")
 
 
 def _by_class(members: DataFrame) -> DataFrame:
@@ -303,20 +385,13 @@ def pairs(members: DataFrame, verified: DataFrame) -> DataFrame:
     return across.unionByName(within).select(F.least("x", "y").alias("id_1"), F.greatest("x", "y").alias("id_2")).distinct()
 
 
-def groups(members: DataFrame, verified: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(id, class_id, group_id, n_links): connected groups of classes, one row per document.
+def _roots(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(_c, root) of every vertex that has an edge (u, v): the least vertex of its component.
 
-    ``group_id`` is the least class of the component, found by alternating large-star and small-star
-    steps (logarithmically many rounds), each written to the shared folder. ``n_links`` counts the
-    linked documents of other texts. A document with several texts joins their classes, and its
-    ``class_id`` is the least of them.
+    Alternating large-star and small-star steps (logarithmically many rounds), each written to the
+    shared folder.
     """
-    members = _by_class(members)
-    several = members.groupBy("id").agg(F.min("_c").alias("u"), F.min("class_id").alias("class_id"), F.count("*").alias("k")).where("k > 1").drop("k")
-    several = materialize(several, "groups-several")
-    texts = several.select("id", "u").join(members.select("id", F.col("_c").alias("v")), "id")
-    edges = verified.select(F.col("a").alias("u"), F.col("b").alias("v")).union(texts.where("u <> v").select("u", "v")).distinct()
-    edges = materialize(edges, "groups-0")
+    edges = materialize(edges.where("u <> v").distinct(), "groups-0")
     for round_no in range(1, max_rounds + 1):
         both = edges.union(edges.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -331,12 +406,33 @@ def groups(members: DataFrame, verified: DataFrame, max_rounds: int = 60) -> Dat
     else:
         raise RuntimeError("groups did not settle")
     root = edges.groupBy(F.col("u").alias("_c")).agg(F.min("v").alias("root"))
-    root = root.union(root.select("root", "root").distinct())
+    return root.union(root.select("root", "root").distinct())
+
+
+def _group_of(members: DataFrame, verified: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents of several texts, their classes, members of one text, rows with group_id)."""
+    several = members.groupBy("id").agg(F.min("_c").alias("u"), F.min("class_id").alias("class_id"), F.count("*").alias("k")).where("k > 1").drop("k")
+    several = materialize(several, "groups-several")
+    texts = several.select("id", "u").join(members.select("id", F.col("_c").alias("v")), "id")
+    root = _roots(verified.select(F.col("a").alias("u"), F.col("b").alias("v")).union(texts.select("u", "v")))
     named = root.join(members.select("_c", "class_id"), "_c").groupBy("root").agg(F.min("class_id").alias("group_id"))
     group_of = root.join(named, "root").select("_c", "group_id")
+    single = members.join(several, "id", "left_anti")
+    rows = single.select("id", "class_id", "_c").union(several.select("id", "class_id", "u"))
+    return several, texts, single, rows.join(group_of, "_c", "left").select("id", "class_id", "_c", F.coalesce("group_id", "class_id").alias("group_id"))
+
+
+def groups(members: DataFrame, verified: DataFrame) -> DataFrame:
+    """(id, class_id, group_id, n_links): connected groups of classes, one row per document.
+
+    ``group_id`` is the least class of the component. ``n_links`` counts the
+    linked documents of other texts. A document with several texts joins their classes, and its
+    ``class_id`` is the least of them.
+    """
+    members = _by_class(members)
+    several, texts, single, rows = _group_of(members, verified)
 
     # Documents of one text are counted by class, those of several one by one: they may be met twice.
-    single = members.join(several, "id", "left_anti")
     sizes = single.groupBy(F.col("_c").alias("o")).agg(F.count("*").alias("n"))
     others = texts.select(F.col("v").alias("o"), F.col("id").alias("m"))
     linked = verified.select(F.col("a").alias("_c"), F.col("b").alias("o")).union(verified.select("b", "a"))
@@ -346,6 +442,5 @@ def groups(members: DataFrame, verified: DataFrame, max_rounds: int = 60) -> Dat
     met = owned.join(others, "o").where("m <> id").select("id", "m").distinct().groupBy("id").agg(F.count("*").alias("n"))
     of_id = owned.join(sizes, "o").select("id", "n").union(met).groupBy("id").agg(F.sum("n").alias("n_links"))
 
-    rows = single.join(of_class, "_c", "left").select("id", "class_id", "_c", "n_links")
-    rows = rows.union(several.join(of_id, "id", "left").select("id", "class_id", F.col("u"), "n_links"))
-    return rows.join(group_of, "_c", "left").select("id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    counted = single.join(of_class, "_c", "left").select("id", "n_links").union(several.join(of_id, "id", "left").select("id", "n_links"))
+    return rows.join(counted, "id").select("id", "class_id", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))

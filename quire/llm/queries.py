@@ -42,7 +42,12 @@ def p6_found(spark, sf_dir):
 
 
 def p6_groups(spark, sf_dir):
-    """One row per entry: its class of equal shingle sets, its group, its links to other texts."""
+    """One row per entry: its class of equal shingle sets and its group."""
+    return neardup.grouped(table(spark, sf_dir, "entries"), "entry_id", "document", words=3, similarity=0.6, min_words=20).withColumnRenamed("id", "entry_id")
+
+
+def p6_links(spark, sf_dir):
+    """One row per entry: its class, its group and how many entries of other texts it is linked to."""
     members, verified = _near(spark, sf_dir)
     return neardup.groups(members, materialize(verified, "neardup-links")).withColumnRenamed("id", "entry_id")
 
@@ -95,14 +100,21 @@ def p9_profile(spark, sf_dir):
     return _graded(spark, sf_dir).groupBy("lang", "grade").agg(F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p5_found, p5_clean, p6_found, p6_groups, p7_found, p7_containers, p7_fill, p8_found, p8_drawn, p8_shares, p9_found, p9_levels, p9_profile)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p5_found, p5_clean, p6_found, p6_groups, p6_links, p7_found, p7_containers, p7_fill, p8_found, p8_drawn, p8_shares, p9_found, p9_levels, p9_profile)}
 
-ORACLE: dict[str, str] = {
-    "p6_found": r"""
-WITH words AS (SELECT entry_id, regexp_extract_all(lower(document), '[\p{L}\p{N}]+') AS w FROM entries),
+_NEAR = r"""
+WITH RECURSIVE words AS (SELECT entry_id, regexp_extract_all(lower(document), '[\p{L}\p{N}]+') AS w FROM entries),
 shingles AS (SELECT DISTINCT entry_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM words WHERE len(w) >= 20),
 sizes AS (SELECT entry_id, count(*) AS n FROM shingles GROUP BY 1),
-shared AS (SELECT a.entry_id AS x, b.entry_id AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.entry_id < b.entry_id GROUP BY ALL)
-SELECT x AS entry_id_1, y AS entry_id_2 FROM shared JOIN sizes p ON p.entry_id = x JOIN sizes q ON q.entry_id = y
-WHERE shared.n >= 0.6 * (p.n + q.n - shared.n)""",
+shared AS (SELECT a.entry_id AS x, b.entry_id AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.entry_id < b.entry_id GROUP BY ALL),
+pairs AS (SELECT x, y, shared.n = p.n AND shared.n = q.n AS equal FROM shared JOIN sizes p ON p.entry_id = x JOIN sizes q ON q.entry_id = y WHERE shared.n >= 0.6 * (p.n + q.n - shared.n)),
+sides AS (SELECT x, y, equal FROM pairs UNION ALL SELECT y, x, equal FROM pairs),
+reach AS (SELECT entry_id AS x, entry_id AS y FROM sizes UNION SELECT r.x, b.y FROM reach r JOIN sides b ON b.x = r.y),
+grouped AS (SELECT s.entry_id, least(s.entry_id, (SELECT min(y) FROM sides b WHERE b.x = s.entry_id AND equal)) AS class_id, (SELECT min(y) FROM reach r WHERE r.x = s.entry_id) AS group_id FROM sizes s)
+"""
+
+ORACLE: dict[str, str] = {
+    "p6_found": _NEAR + "SELECT x AS entry_id_1, y AS entry_id_2 FROM pairs",
+    "p6_groups": _NEAR + "SELECT * FROM grouped",
+    "p6_links": _NEAR + "SELECT *, (SELECT count(*) FROM sides b WHERE b.x = g.entry_id AND NOT equal)::BIGINT AS n_links FROM grouped g",
 }

@@ -57,6 +57,27 @@ def test_large_bucket(spark, monkeypatch):
     assert {r["group_id"] for r in found} == {0} and {r["n_links"] for r in found} == {69} and len(found) == 70
 
 
+def test_groups_without_pairs(spark, monkeypatch):
+    """``grouped`` finds the groups of ``links``, in buckets where not all are linked to the least too."""
+    monkeypatch.setattr(neardup, "CHUNK", 7)
+    rng, rows = random.Random(9), documents()
+    base = [rng.choice(WORDS) for _ in range(60)]
+    for _ in range(40):  # a chain: each differs a little from the one before, the ends are not alike
+        base = [*base[3:], *(rng.choice(WORDS) for _ in range(3))]
+        rows.append((len(rows), " ".join(base)))
+    df = spark.createDataFrame(rows + [(3, rows[9][1]), (None, rows[1][1])], "doc bigint, text string")
+    want = {(r["id"], r["class_id"], r["group_id"]) for r in neardup.groups(*neardup.links(df, "doc", "text", 3, 0.6, 20)).collect()}
+    assert {tuple(r) for r in neardup.grouped(df, "doc", "text", 3, 0.6, 20).collect()} == want
+    assert neardup.grouped(df.where("false"), "doc", "text").count() == 0
+
+
+def test_large_sets_keep_their_bound():
+    """Sets of millions of shingles: counts above 16 bits still bound the overlap from above."""
+    h = np.arange(6_000_000, dtype=np.uint64)
+    large, small = neardup._points([neardup.group_counts(h)]), neardup._points([neardup.group_counts(h[:100])])
+    assert large.sum() == 6_000_000 and small.sum() == 100 and neardup._points([neardup.group_counts(h), neardup.group_counts(h[:100])]).sum() == 6_000_100
+
+
 def test_groups_along_a_chain(spark):
     members = spark.createDataFrame([(i, i) for i in range(12)] + [(20, 3)], "id bigint, class_id bigint")
     verified = spark.createDataFrame([(i, i + 1, 0.9) for i in range(8)] + [(9, 10, 0.9)], "a bigint, b bigint, similarity double")
@@ -203,10 +224,14 @@ def test_query(spark, small, tokenizer, name):
     assert queries.QUERIES[name](spark, small).count() >= 0
 
 
-def test_pairs_against_sql(spark, small):
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_against_sql(spark, small, name):
     import duckdb
 
     con = duckdb.connect()
     con.sql(f"CREATE VIEW entries AS SELECT * FROM '{small}/entries.parquet'")
-    found = {tuple(r) for r in queries.p6_found(spark, small).collect()}
-    assert found == {tuple(r) for r in con.sql(queries.ORACLE["p6_found"]).fetchall()}
+    for other in ("documents", "mix_targets"):
+        con.sql(f"CREATE VIEW {other} AS SELECT * FROM '{small}/{other}.parquet'")
+    found = queries.QUERIES[name](spark, small)
+    want = con.sql(queries.ORACLE[name])
+    assert sorted(tuple(r) for r in found.select(*want.columns).collect()) == sorted(want.fetchall())
