@@ -308,11 +308,13 @@ def shingle_sets(df: DataFrame, text_col: str, words: int, min_words: int) -> Da
 def _classes(df: DataFrame, id_col: str, text_col: str, words: int, similarity: float, min_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(classes, members, representatives) of the texts; see ``links``."""
     found = materialize(features(df, id_col, text_col, words, similarity, min_words), "neardup")
-    classes = found.groupBy("digest").agg(F.min("id").alias("class_id")).withColumn("class_no", F.monotonically_increasing_id())
-    classes = materialize(classes, "neardup-classes")
+    # All but the identifier follows from the digest, so any row of a class will do.
+    one = [F.first(c).alias(c) for c in ("size", "bands", "counts")]
+    stored = found.groupBy("digest").agg(F.min("id").alias("class_id"), *one).withColumn("class_no", F.monotonically_increasing_id())
+    stored = materialize(stored, "neardup-classes")
+    classes = stored.select("digest", "class_id", "class_no")
     members = found.select("id", "digest").join(classes, "digest").select("id", "class_id", "class_no").distinct()
-    reps = found.join(classes.withColumnRenamed("class_id", "id"), ["id", "digest"]).dropDuplicates(["class_no"]).drop("id", "digest").withColumnRenamed("class_no", "id")
-    return classes, materialize(members, "neardup-members"), reps
+    return classes, materialize(members, "neardup-members"), stored.select(F.col("class_no").alias("id"), "size", "bands", "counts")
 
 
 def _verified(near: DataFrame, classes: DataFrame, df: DataFrame, id_col: str, text_col: str, words: int, similarity: float, min_words: int) -> DataFrame:
