@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import chunking, mixing, neardup, packing, reading, residue
+from quire.llm import chunking, mixing, neardup, packing, reading, residue, template
 from quire.runtime import materialize, table
 
 
@@ -33,6 +33,36 @@ def p5_clean(spark, sf_dir):
     return entries.unionByName(blocks.select(F.lit("block").alias("record_kind"), F.col("block_id").alias("record_id"), residue.residue(F.col("content"), F.col("language"), block=True)["text"].alias("text")))
 
 
+def p5_classes(spark, sf_dir):
+    """Equivalence classes of tokens over the entries of each library: how many of what size on how many pages."""
+    found = template.occurrences(table(spark, sf_dir, "entries"), "library_id", "document")
+    return template.equivalence_classes(found).groupBy("host", "class_id", "pages", "n_tokens").agg(F.count("*").alias("n")).groupBy(F.col("host").alias("library_id"), "pages", "n_tokens").agg(F.count("*").alias("n_classes"))
+
+
+def p5_templates(spark, sf_dir):
+    """What template deduction finds in each library: classes, valid and nested ones, and those with markup."""
+    classes, _ = template.deduce(table(spark, sf_dir, "entries"), "library_id", "document")
+    markup = F.exists("tokens", lambda t: t.rlike(template.MARKUP))
+    return classes.groupBy(F.col("host").alias("library_id")).agg(
+        F.count("*").alias("n_classes"), F.count_if("valid").alias("n_valid"), F.count_if(F.col("parent").isNotNull()).alias("n_nested"), F.count_if(F.col("valid") & markup).alias("n_markup")
+    )
+
+
+def p5_reach(spark, sf_dir):
+    """Entries with residue by the scanner, and how many of them hold a markup token of a valid class."""
+    entries = table(spark, sf_dir, "entries").select(F.col("entry_id").alias("page"), "library_id", "document")
+    _, places = template.deduce(entries, "library_id", "document", page_col="page")
+    held = places.where(F.exists("at", lambda x: x["token"].rlike(template.MARKUP))).select("page").distinct().withColumn("held", F.lit(True))
+    kinds = residue.residue(F.col("document"), with_text=False)["markup"]
+    marked = entries.select("page", kinds.alias("m")).where(F.size("m") > 0)
+    return marked.join(held, "page", "left").agg(F.count("*").alias("n_entries"), F.count("held").alias("n_reached"))
+
+
+def p5_slots(spark, sf_dir):
+    """What stands between the template's tokens on every entry."""
+    return template.slots(table(spark, sf_dir, "entries"), "library_id", "entry_id", "document")
+
+
 def _near(spark, sf_dir):
     return neardup.links(table(spark, sf_dir, "entries"), "entry_id", "document", words=3, similarity=0.6, min_words=20)
 
@@ -100,7 +130,7 @@ def p9_profile(spark, sf_dir):
     return _graded(spark, sf_dir).groupBy("lang", "grade").agg(F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p5_found, p5_clean, p6_found, p6_groups, p6_links, p7_found, p7_containers, p7_fill, p8_found, p8_drawn, p8_shares, p9_found, p9_levels, p9_profile)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p5_found, p5_clean, p5_classes, p5_templates, p5_reach, p5_slots, p6_found, p6_groups, p6_links, p7_found, p7_containers, p7_fill, p8_found, p8_drawn, p8_shares, p9_found, p9_levels, p9_profile)}
 
 _NEAR = r"""
 WITH RECURSIVE words AS (SELECT entry_id, regexp_extract_all(lower(document), '[\p{L}\p{N}]+') AS w FROM entries),
@@ -114,6 +144,12 @@ grouped AS (SELECT s.entry_id, least(s.entry_id, (SELECT min(y) FROM sides b WHE
 """
 
 ORACLE: dict[str, str] = {
+    "p5_classes": r"""
+WITH tokens AS (SELECT library_id, entry_id, unnest(regexp_extract_all(document, '</?[A-Za-z][A-Za-z0-9]*|\{\{|\}\}|\[\[|\]\]|''''+|\\[A-Za-z]+|[\p{L}\p{N}]+')) AS token FROM entries),
+counts AS (SELECT library_id, entry_id, token, count(*) AS n FROM tokens GROUP BY ALL),
+vectors AS (SELECT library_id, token, list((entry_id, n) ORDER BY entry_id) AS v FROM counts GROUP BY ALL HAVING count(*) >= 3),
+classes AS (SELECT library_id, v, len(v)::BIGINT AS pages, count(*)::BIGINT AS n_tokens FROM vectors GROUP BY ALL HAVING count(*) >= 2)
+SELECT library_id, pages, n_tokens, count(*)::BIGINT AS n_classes FROM classes GROUP BY ALL""",
     "p6_found": _NEAR + "SELECT x AS entry_id_1, y AS entry_id_2 FROM pairs",
     "p6_groups": _NEAR + "SELECT * FROM grouped",
     "p6_links": _NEAR + "SELECT *, (SELECT count(*) FROM sides b WHERE b.x = g.entry_id AND NOT equal)::BIGINT AS n_links FROM grouped g",

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import chunking, mixing, neardup, packing, queries, reading, residue, tokens
+from quire.llm import chunking, mixing, neardup, packing, queries, reading, residue, template, tokens
 
 TOKENIZER = tokens.DEFAULT_TOKENIZER
 WORDS = [f"w{i}" for i in range(400)]
@@ -140,6 +140,30 @@ def test_residue(spark):
     assert residue.found_kinds(df.where("false"), "e", "id", residue.residue(F.col("t"))).count() == 0
 
 
+def test_template_deduction(spark):
+    """A frame with a list of entries in it, on every page of a host; another host has its own."""
+    rng = random.Random(3)
+    word = lambda: rng.choice(WORDS)
+
+    def page(k):
+        items = "".join(f"<item> name {word()} price {word()} </item>" for _ in range(k))
+        return f"<head> Shop {word()} {word()} Welcome <body> {items} Footer imprint {word()}"
+
+    rows = [(k, "a", page(k)) for k in range(1, 7)] + [(10 + k, "b", f"{word()} Other {word()} frame {word()}") for k in range(4)] + [(20, None, page(2)), (21, "a", None), (22, "c", page(1)), (23, "c", "")]
+    df = spark.createDataFrame(rows, "id int, site string, text string").withColumns({"host": F.lit(1), "page": F.lit(2)})
+    classes, places = template.deduce(df, "site", "text")
+    found = {tuple(r["tokens"]): r for r in classes.where("valid").collect()}
+    frame, item = ("<head", "Shop", "Welcome", "<body", "Footer", "imprint"), ("<item", "name", "price", "</item")
+    assert found[frame]["pages"] == 6 and found[frame]["parent"] is None and found[frame]["host"] == "a"
+    assert (found[item]["parent"], found[item]["gap"]) == (found[frame]["class_id"], 4) and ("Other", "frame") in found and all(r["host"] != "c" for r in found.values())
+    got = {}
+    for r in template.slots(df, "site", "id", "text").orderBy("id", "slot_no").collect():
+        got.setdefault(r["id"], []).append(r["slot"].strip(" >"))
+    words = lambda t: [w for w in t.split() if w in WORDS]
+    assert [w for s in got[3] for w in s.split()] == words(rows[2][2]) and got[22] == [rows[-2][2]] and set(got) == {1, 2, 3, 4, 5, 6, 10, 11, 12, 13, 22}
+    assert template.deduce(df.where("false"), "site", "text")[0].count() == 0
+
+
 def test_packing(spark):
     rng = random.Random(6)
     rows = [(i, rng.choice([None, 0, 5, 10, 30, 64, 65, 200, rng.randrange(64)])) for i in range(500)] + [(0, 200), (0, 200), (None, 7)]
@@ -230,7 +254,7 @@ def test_against_sql(spark, small, name):
 
     con = duckdb.connect()
     con.sql(f"CREATE VIEW entries AS SELECT * FROM '{small}/entries.parquet'")
-    for other in ("documents", "mix_targets"):
+    for other in ("documents", "mix_targets", "code_blocks"):
         con.sql(f"CREATE VIEW {other} AS SELECT * FROM '{small}/{other}.parquet'")
     found = queries.QUERIES[name](spark, small)
     want = con.sql(queries.ORACLE[name])
