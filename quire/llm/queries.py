@@ -18,6 +18,18 @@ def p4_pieces(spark, sf_dir):
     return chunking.split_oversized(table(spark, sf_dir, "entries"), "entry_id", "document")
 
 
+def p4_joined(spark, sf_dir):
+    """Every oversized entry put together again from its pieces without their overlaps, the largest piece and
+    whether all overlaps agree."""
+    cut = p4_pieces(spark, sf_dir).groupBy("entry_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", "start", "end", "piece"))).alias("p"))
+    rest = F.transform(F.slice("p", 2, F.size("p")), lambda x: F.substring(x["piece"], 201, 4000))
+    shared = lambda x, i: F.substring(F.get("p", i)["piece"], -200, 200) == F.substring(x["piece"], 1, 200)
+    return cut.select(
+        "entry_id", F.concat(F.get("p", 0)["piece"], F.array_join(rest, "")).alias("document"), (F.array_max(F.transform("p", lambda x: F.length(x["piece"]))) <= 4000).alias("fits"),
+        F.forall(F.transform(F.slice("p", 2, F.size("p")), shared), lambda same: same).alias("overlaps"),
+    )
+
+
 def p5_found(spark, sf_dir):
     entries = table(spark, sf_dir, "entries").select("entry_id", "document")
     blocks = table(spark, sf_dir, "code_blocks").select("block_id", "content", "language")
@@ -98,6 +110,22 @@ def p7_fill(spark, sf_dir):
     return used.agg(F.count("*").alias("n_containers"), F.sum("n").alias("n_tokens"), F.max("n").alias("fullest"), (F.sum("n") / (F.count("*") * 1024)).alias("fill"))
 
 
+def p7_by_length(spark, sf_dir):
+    """Documents packed by their characters: pieces and size of each, and whether its containers keep to the capacity."""
+    packed = packing.pack(table(spark, sf_dir, "documents"), "doc_id", F.length("text"))
+    full = packed.groupBy("container").agg(F.sum("n").alias("_in"))
+    return packed.join(full, "container").groupBy("doc_id").agg(F.count("*").alias("n_pieces"), F.sum("n").alias("n"), F.bool_and(F.col("_in") <= 1024).alias("fits"))
+
+
+def p8_by_length(spark, sf_dir):
+    """A mixture by characters: what each source has, whether it is short, and whether it keeps its bounds."""
+    docs, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
+    rows = docs.select("doc_id", mixing.source_key(F.col("source")).alias("source_key"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n"), mixing.quality_of(F.col("align_score")).alias("quality"))
+    planned = materialize(mixing.plan(rows, targets), "mix-plan")
+    found = mixing.shares(planned, mixing.draw(rows, planned)).join(planned.select("source", "budget"), "source")
+    return found.select("source", "size", "short", ((F.col("drawn") <= F.col("budget")) & (F.col("most_repeats") <= F.col("max_repeats"))).alias("bounded"))
+
+
 def p8_found(spark, sf_dir):
     return p8_shares(spark, sf_dir).where("short").select("source")
 
@@ -130,7 +158,7 @@ def p9_profile(spark, sf_dir):
     return _graded(spark, sf_dir).groupBy("lang", "grade").agg(F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p5_found, p5_clean, p5_classes, p5_templates, p5_reach, p5_slots, p6_found, p6_groups, p6_links, p7_found, p7_containers, p7_fill, p8_found, p8_drawn, p8_shares, p9_found, p9_levels, p9_profile)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p4_joined, p5_found, p5_clean, p5_classes, p5_templates, p5_reach, p5_slots, p6_found, p6_groups, p6_links, p7_found, p7_containers, p7_fill, p7_by_length, p8_found, p8_drawn, p8_shares, p8_by_length, p9_found, p9_levels, p9_profile)}
 
 _NEAR = r"""
 WITH RECURSIVE words AS (SELECT entry_id, regexp_extract_all(lower(document), '[\p{L}\p{N}]+') AS w FROM entries),
@@ -144,6 +172,12 @@ grouped AS (SELECT s.entry_id, least(s.entry_id, (SELECT min(y) FROM sides b WHE
 """
 
 ORACLE: dict[str, str] = {
+    "p4_joined": "SELECT entry_id, document, true AS fits, true AS overlaps FROM entries WHERE len(document) > 4000",
+    "p7_by_length": "SELECT doc_id, greatest(1, ceil(coalesce(len(text), 0) / 1024))::BIGINT AS n_pieces, coalesce(len(text), 0)::BIGINT AS n, true AS fits FROM documents",
+    "p8_by_length": """
+WITH sizes AS (SELECT lower(trim(source)) AS k, sum(coalesce(len(text), 0)) AS n FROM documents GROUP BY 1),
+have AS (SELECT t.*, coalesce(s.n, 0)::BIGINT AS size FROM mix_targets t LEFT JOIN sizes s ON s.k = lower(trim(t.source)))
+SELECT source, size, size * max_repeats < target_share * (SELECT sum(size) FROM have)::DOUBLE AS short, true AS bounded FROM have""",
     "p5_classes": r"""
 WITH tokens AS (SELECT library_id, entry_id, unnest(regexp_extract_all(document, '</?[A-Za-z][A-Za-z0-9]*|\{\{|\}\}|\[\[|\]\]|''''+|\\[A-Za-z]+|[\p{L}\p{N}]+')) AS token FROM entries),
 counts AS (SELECT library_id, entry_id, token, count(*) AS n FROM tokens GROUP BY ALL),
