@@ -16,6 +16,16 @@ MAX_BYTES = 16 * 1024 * 1024
 SCHEMA = "path string, size bigint, content binary, error string"
 
 
+def local_path(root: str) -> str:
+    """A folder as the operating system names it; ``file:`` locations lose their scheme, others are refused."""
+    scheme, colon, rest = root.partition(":")
+    if scheme == "file" and colon:
+        return "/" + rest.lstrip("/")
+    if "://" in root:
+        raise ValueError(f"{root} is no folder of the file system; mount it, or read a table with a text column")
+    return root
+
+
 class _Files(InputPartition):
     def __init__(self, paths: list[str]):
         self.paths = paths
@@ -23,7 +33,7 @@ class _Files(InputPartition):
 
 class MarkdownReader(DataSourceReader):
     def __init__(self, options):
-        self.root = options["path"]
+        self.root = local_path(options["path"])
         self.suffix = options.get("suffix", ".md")
         self.limit = int(options.get("maxbytes", MAX_BYTES))
         self.group = int(options.get("filespertask", 256))
@@ -64,7 +74,7 @@ class MarkdownWriter(DataSourceWriter):
     """One file per row (path, text) below a folder. A repeated task writes the same files again."""
 
     def __init__(self, options):
-        self.root = os.path.abspath(options["path"])
+        self.root = os.path.abspath(local_path(options["path"]))
 
     def write(self, rows):
         count = 0
@@ -114,9 +124,19 @@ def markdown_files(spark: SparkSession, root: str, suffix: str = ".md", **option
     return files.select("path", F.when(F.col("error").isNotNull(), F.raise_error(F.concat_ws(": ", "path", "error"))).otherwise(F.col("content")).cast("binary").alias("content"))
 
 
-def write_markdown(df: DataFrame, root: str) -> None:
-    """Writes (path, text) rows as files below ``root``."""
-    register(df.sparkSession)
+def write_markdown(df: DataFrame, root: str, shared: bool = False) -> None:
+    """Writes (path, text) rows as files below ``root``.
+
+    Each executor writes through its own file system. On a cluster ``root`` must therefore be in the
+    folder that spark.checkpoint.dir names, or ``shared`` must say that all machines have it.
+    """
+    spark = df.sparkSession
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        from quire.runtime import shared_dir
+
+        if not os.path.abspath(local_path(root)).startswith(os.path.abspath(local_path(shared_dir(spark))) + os.sep):
+            raise ValueError(f"{root} may be a different folder on each machine; say shared=True if it is not")
+    register(spark)
     df.select("path", "text").write.format("quire_markdown").mode("append").save(root)
 
 

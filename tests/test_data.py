@@ -6,11 +6,25 @@ import posixpath
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.core import jsontree
 from quire.operators import drift, incremental, shred
 
+
+
+@pytest.fixture(scope="module", autouse=True)
+def compiled(spark):
+    """The plans of this module run with code generation, as users' plans do."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.codegen.wholeStage", "spark.sql.codegen.factoryMode")}
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")
+    spark.conf.set("spark.sql.codegen.factoryMode", "FALLBACK")
+    yield
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+
+
 T0 = datetime(2025, 1, 1)
 FEED = "feed_id bigint, library_id bigint, path string, content_hash bigint, n_bytes bigint, modified_at timestamp, arrived_at timestamp, scanner string"
 RUNS = "run_id bigint, library_id bigint, cutoff_at timestamp, status string"

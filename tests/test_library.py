@@ -99,6 +99,14 @@ def test_building(spark):
     assert [r["path"] for r in both.changed(lib.docs.where("path is null").select("path", "content_hash")).collect()] == ["1.md", "1.md"]
 
 
+def test_locations(tmp_path):
+    from quire.sources.markdown_files import local_path
+
+    assert [local_path(x) for x in ("/a/b", "file:/a/b", "file:///a/b", "a", "a:b")] == ["/a/b", "/a/b", "/a/b", "a", "a:b"]
+    with pytest.raises(ValueError):
+        local_path("s3a://bucket/a")
+
+
 def test_node_tables(spark, lib):
     tables = parsing.node_tables(lib.docs.where("body is not null"), "doc_id", "body")
     assert set(tables) == {"blocks", "inlines", "cells", "link_defs"}
